@@ -59,7 +59,7 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def pieces(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+def pieces(texts: list[str | None], chars: int = 250_000) -> Iterator[tuple[int, list[str]]]:
     """Consecutive groups of texts of about so many characters: (index of the first, texts).
 
     A null counts as an empty text. One very long text is a group of its own.

@@ -32,6 +32,7 @@ from glyphmill.ship import ship
 
 BLOCK = 10
 _FULL = 1 << 64
+_SALT = 0x5851F42D4C957F2D
 
 
 def _slide_argmin(v: np.ndarray, w: int) -> np.ndarray:
@@ -61,7 +62,8 @@ def _anchored(texts: list[str], min_words: int):
     at = np.flatnonzero(ok)
     if not len(at):
         return None
-    anchor = _slide_argmin(blocks, min_words - BLOCK + 1)[at]
+    # least by another hash than the key's own, else keys would crowd near 0
+    anchor = _slide_argmin(_text.mix(blocks ^ np.uint64(_SALT)), min_words - BLOCK + 1)[at]
     head = np.concatenate(([True], anchor[1:] != anchor[:-1]))
     first = np.flatnonzero(head)
     p = anchor[first]
@@ -234,7 +236,7 @@ def repeats(runs: list, min_words: int):
     return d[a], s[a], s[b] + min_words, source[a], is_first[a]
 
 
-def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", run_windows: int = 8_000_000, buckets: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", run_windows: int = 4_000_000, buckets: int | None = None) -> DataFrame:
     """Passages of ``min_words`` words or more that occur in two or more documents.
 
     One row for each maximal stretch of a document covered by repeated windows:
