@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphmill.llm import decontaminate, line_dedup, sharding
+from glyphmill.llm.language_id import identify_language, sample, train
+from glyphmill.llm.minhash import near_duplicates
 from glyphmill.llm.suffix_dedup import suffix_dedup
 
 
@@ -15,8 +18,40 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), min_words=50)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=3, min_containment=0.8)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), max_bytes=64 << 20)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.line_dedup(docs, max_ratio=0.05, min_pages=5, count_col="n_dropped").select("doc_id", "text", "n_dropped")
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=3, min_jaccard=0.5, bands=48, per_band=4)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(sample(docs, per_language=400))
+    return identify_language(docs.select("doc_id", "text"), model).select("doc_id", "pred_lang", "cross_entropy", "accepted")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_decontaminate": op2_decontaminate,
+    "op4_sharding": op4_sharding,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_minhash": op6_minhash,
+    "op8_language_id": op8_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
+    "op4_sharding": sharding.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
+}
