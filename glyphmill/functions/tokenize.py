@@ -57,10 +57,16 @@ SYMBOLS = {
     "█": "||", "┃": "|", "─": "-", "━": "-", "═": "=", "▸": "=>", "▀": "^", "♪": " eighth-note ", "♫": " beamed-notes ", "★": " star ", "☀": " sun ", "☑": " checked ", "░": " shade ",
 }
 #: Runs of a mark or of laughter become a run that tells the class of their length.
-REPEATS = [
-    *((rf"{re.escape(c)}{{{lo},{hi}}}", c * n) for c in ".?!¡¿" for lo, hi, n in ((28, "", 5), (9, 27, 4), (4, 8, 3), (2, 3, 2))),
-    *((rf"{head}{{{lo},{hi}}}", unit(n)) for head, unit in (("(?i:[ea]?h[eah])" + "(?i:[eah])", lambda n: "ha" * n), ("(?i:j)(?i:[jea])", lambda n: "ja" * n), ("(?i:h+m)", lambda n: "h" + "m" * n)) for lo, hi, n in ((54, "", 5), (18, 53, 4), (6, 17, 3), (3, 5, 2))),
+_LENGTHS = ((54, "", 5), (18, 53, 4), (6, 17, 3), (3, 5, 2))
+_RUNS = [
+    *((f"{re.escape(c)}{{{lo},{hi}}}", c * n) for c in ".?!¡¿" for lo, hi, n in ((28, "", 5), (9, 27, 4), (4, 8, 3), (2, 3, 2))),
+    *((f"(?i:[ea]?h)(?i:[eah]){{{lo},{hi}}}", "ha" * n) for lo, hi, n in _LENGTHS),
+    *((f"(?i:j)(?i:[jea]){{{lo},{hi}}}", "ja" * n) for lo, hi, n in _LENGTHS),
+    *((f"(?i:h+)(?i:m){{{lo},{hi}}}", "h" + "m" * n) for lo, hi, n in _LENGTHS),
+    *((f"(?i:m){{{lo},{hi}}}", "m" * n) for lo, hi, n in _LENGTHS),
 ]
+#: By way of private characters, so that no rule takes what another has made.
+REPEATS = [*((p, chr(0xE000 + i)) for i, (p, _) in enumerate(_RUNS)), *((chr(0xE000 + i), new) for i, (_, new) in enumerate(_RUNS))]
 _PYTHON_GROUP = re.compile(r"\$(\d)")
 
 
