@@ -133,8 +133,10 @@ def top_k(vectors: DataFrame, k: int = 10, n_pivots: int = 16, pivot_sample: int
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(t.ravel())), pa.array(near.astype(np.int32)), pa.array(t[np.arange(len(t)), near])], ["id", "v", "t", "p", "d"])
 
     table = points.select("id", "v").mapInArrow(measure, "id long, v array<double>, t array<double>, p int, d double")
-    ring = F.floor((F.row_number().over(Window.partitionBy("p").orderBy("d", "id")) - 1) / cell_size)
-    table = cut(table.withColumn("cell", F.concat_ws("/", "p", ring)).select("id", "v", "t", "cell"))
+    # a global sort by nearest pivot and distance; every so many rows of a sorted
+    # partition are a cell, whatever the number of pivots
+    ring = F.floor(F.monotonically_increasing_id() / cell_size)
+    table = cut(table.orderBy("p", "d", "id").withColumn("cell", ring).select("id", "v", "t", "cell"))
 
     def own(tab: pa.Table) -> pa.Table:
         ids = tab.column("id").to_numpy()
@@ -146,7 +148,7 @@ def top_k(vectors: DataFrame, k: int = 10, n_pivots: int = 16, pivot_sample: int
         bound[count == k] = d[last[count == k]]
         return pa.table({"id": ids, "bound": bound, "cell": tab.column("cell"), "v": tab.column("v"), "t": tab.column("t")})
 
-    queries = cut(table.groupBy("cell").applyInArrow(own, "id long, bound double, cell string, v array<double>, t array<double>"))
+    queries = cut(table.groupBy("cell").applyInArrow(own, "id long, bound double, cell long, v array<double>, t array<double>"))
     spans = [f(F.element_at("t", p + 1)) for p in range(n_pivots) for f in (F.min, F.max)]
     cells = queries.groupBy("cell").agg(F.array(*spans).alias("span"), F.max("bound").alias("bound"), F.count("*").alias("n"))
     cells = cut(cells)
