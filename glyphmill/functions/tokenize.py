@@ -103,6 +103,18 @@ def symbols(text: Column) -> Column:
     return text
 
 
+def symbol_table(text: Column, table: dict[str, str]) -> Column:
+    """Symbols by a table of hexadecimal code points, of any plane, and their
+    spelling; read from lines of ``code,spelling`` by ``read_symbols``."""
+    for code, new in table.items():
+        text = F.replace(text, F.lit(chr(int(code, 16))), F.lit(new))
+    return text
+
+
+def read_symbols(lines: list[str]) -> dict[str, str]:
+    return {code.strip(): new for code, _, new in (line.rstrip("\n").partition(",") for line in lines if line.strip() and not line.startswith("#"))}
+
+
 def repeats(text: Column) -> Column:
     return rewrite(text, REPEATS)
 

@@ -36,6 +36,12 @@ def ngram_termfreq(spark, d):
     return ngrams.term_frequency(content(spark, d), 2).where("freq >= 5").orderBy(F.desc("freq"), "ngram").limit(100)
 
 
+@query(f"WITH {D}, {_grams(2)} SELECT ngram, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 0.5 WHEN doc_id % 3 = 1 THEN 1.0 ELSE 2.0 END) AS DOUBLE) AS freq FROM g GROUP BY 1 HAVING sum(CASE WHEN doc_id % 3 = 0 THEN 0.5 WHEN doc_id % 3 = 1 THEN 1.0 ELSE 2.0 END) >= 10")
+def weighted_wordlist(spark, d):
+    w = F.when(F.col("doc_id") % 3 == 0, 0.5).when(F.col("doc_id") % 3 == 2, 2.0)
+    return ngrams.term_frequency(content(spark, d).withColumn("w", w), 2, weight="w").where("freq >= 10")
+
+
 @query(f"WITH {D}, {_grams(3)} SELECT ngram, count(DISTINCT doc_id) AS freq FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3")
 def ngram_docfreq(spark, d):
     return ngrams.document_frequency(content(spark, d), 3).where("freq >= 3")
@@ -99,6 +105,18 @@ def phrase_match(spark, d):
     return m.select("doc_id", "phrase", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
+@query(f"WITH {D}, {_grams(3)}, {PHRASES}, {MATCH} SELECT doc_id, 'N:' || phrase AS feature, count(*) AS value, CAST(sum(count(*)) OVER (PARTITION BY doc_id) AS BIGINT) AS norm FROM m GROUP BY doc_id, phrase")
+def ngram_feature(spark, d):
+    return ngrams.phrase_feature(matches(spark, d), key="doc_id")
+
+
+@query(f"WITH {D}, {_grams(3)}, {PHRASES}, {MATCH} SELECT doc_id, 'bN:' || phrase AS feature, 1 AS value, CAST(round(sum(sum(length(phrase))) OVER (PARTITION BY doc_id), 6) AS BIGINT) AS norm FROM m GROUP BY doc_id, phrase")
+def weighted_ngram_feature(spark, d):
+    """Binary features, normed by the summed weights of the matches."""
+    m = matches(spark, d).withColumn("w", F.length("phrase"))
+    return ngrams.phrase_feature(m, weight="w", binary=True, key="doc_id")
+
+
 @query(f"WITH {D}, {_grams(3)}, {PHRASES}, {MATCH}, c AS (SELECT doc_id, phrase, start, e, t FROM m JOIN d USING (doc_id)), f AS (SELECT phrase, 'L' || j || t[start + 1 - j] AS feature FROM c, (VALUES (1), (2)) v(j) WHERE start >= j UNION ALL SELECT phrase, 'R' || j || t[e + j] FROM c, (VALUES (1), (2)) v(j) WHERE e + j <= len(t)) SELECT phrase, feature, count(*) AS value FROM f GROUP BY 1, 2 HAVING count(*) >= 3")
 def context_features(spark, d):
     """Tokens up to two places about each phrase, with side and distance."""

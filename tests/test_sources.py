@@ -80,6 +80,8 @@ def test_tokenizers(spark):
     assert one(spark, "“a” ♥ it—really…", tokenize.symbols) == '"a" <3 it-really...'
     assert one(spark, "no!!!!! hahahahaha jajaja hmmmm .... a..", tokenize.repeats) == "no!!! hahaha jaja hmm ... a.."
     assert one(spark, "  ", tokenize.whitespace) == []
+    table = tokenize.read_symbols(["# codes", "1f600,[grin]", "2605,*"])
+    assert one(spark, "a😀★", lambda c: tokenize.symbol_table(c, table)) == "a[grin]*"
 
 
 def test_tweet_tags(spark):
