@@ -187,20 +187,21 @@ def test_pii_permutation_is_one_to_one():
 
 
 @pytest.mark.parametrize("max_local", [1000, -1])
-def test_pii_keeps_entities_apart(spark, monkeypatch, max_local):
-    few = ["ba", "be"]  # names made of few syllables must meet
-    monkeypatch.setitem(pii._SYLLABLES, "latin", few)
-    names = [f"Name{a}{b}" for a in "abcdef" for b in "uvw"]
+def test_pii_keeps_entities_apart(spark, max_local):
+    """Of so many made-up surnames some first meet and are drawn again."""
+    names = [f"{a}{b}{c}x".capitalize() for a in pii._SYLLABLES["latin"][:40] for b in pii._SYLLABLES["latin"][:20] for c in "bcdfghklmn"]
+    text = ". ".join(f"Mr {n}" for n in names)
+    d = docs(spark, [(1, text), (2, text[: len(text) // 2]), (3, None)])
     keyed = pii.Keyed(b"k")
-    taken: dict[str, str] = {}
-    again = {}
-    for n in names:  # as in collisions(), by hand
-        for attempt in range(1000):
-            s = keyed.name("latin", "", n.lower(), attempt) + str(attempt)
-            if s not in taken:
-                taken[s], again[n] = n, attempt
-                break
-    assert len(taken) == len(names)
+    by = defaultdict(list)
+    for n in sorted(names):
+        by[keyed.name("latin", "", n.lower(), 0)].append(n.lower())
+    late = {f"latin||{n}" for met in by.values() for n in met[1:]}
+    assert late and {r.canonical for r in pii.collisions(d, "k").collect()} == late
+    got = {r.doc_id: r.text for r in pii.surrogates(d, "k", max_local=max_local).collect()}
+    new = re.findall(r"Mr (\w+)", got[1])
+    assert len(new) == len(names) == len(set(new)) and not set(new) & set(names)
+    assert re.findall(r"Mr (\w+)\.", got[2]) == new[: got[2].count(".")]
 
 
 @pytest.mark.parametrize("max_local", [1000, -1])
@@ -215,19 +216,6 @@ def test_pii_table(spark, max_local):
     assert rows(pii.surrogates(docs(spark, []), "k")) == []
 
 
-def test_pii_collisions_are_drawn_again(spark, monkeypatch):
-    real = pii.surrogate
-
-    text = " ".join(f"Mr {a}{b}rov." for a in "ABCDEFGHIJ" for b in "aeiou")
-    d = docs(spark, [(1, text), (2, text)])
-    assert rows(pii.collisions(d, "k")) == []
-    keyed = pii.Keyed(b"k")
-    out, kinds = pii.replace(keyed, text, {})
-    assert len(set(out.split())) == len(set(text.split())) and kinds == ["name"] * 50
-    c = [x[3] for x in pii.find(text)][0]
-    assert real(keyed, "name", c, 1) != real(keyed, "name", c, 0)
-
-
 # 4
 
 
