@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
@@ -59,13 +60,19 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def pieces(texts: list[str | None], chars: int = 250_000) -> Iterator[tuple[int, list[str]]]:
+def each(column: pa.Array | list, step: int = 256) -> Iterator:
+    """The values of an Arrow column or a list in turn, so many made at once."""
+    for at in range(0, len(column), step):
+        yield from column[at : at + step] if isinstance(column, list) else column.slice(at, step).to_pylist()
+
+
+def pieces(texts: pa.Array | list, chars: int = 250_000) -> Iterator[tuple[int, list[str]]]:
     """Consecutive groups of texts of about so many characters: (index of the first, texts).
 
     A null counts as an empty text. One very long text is a group of its own.
     """
     first, group, size = 0, [], 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate(each(texts)):
         t = t or ""
         if group and size + len(t) > chars:
             yield first, group

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm import _text
 from glyphmill.ship import ship
 
 FIELDS = {
@@ -112,7 +113,7 @@ def read_arc(archives: DataFrame, name_col: str = "path", data_col: str = "conte
 
     def walk(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, data in zip(batch.column(0).to_pylist(), _text.each(batch.column(1), 1), strict=True):
                 rows: list[tuple] = []
                 size = 0
                 for r in parse(data or b""):
@@ -181,11 +182,11 @@ def pages_as_arc(pages: DataFrame) -> DataFrame:
 
     def write(batches):
         for batch in batches:
-            ids, urls, htmls = (c.to_pylist() for c in batch.columns)
+            ids, urls = (c.to_pylist() for c in batch.columns[:2])
             for version in (1, 2):
                 name = f"batch-v{version}.arc"
                 parts, size = [version_block(version, name)], 0
-                for i, url, html in zip(ids, urls, htmls, strict=True):
+                for i, url, html in zip(ids, urls, _text.each(batch.column(2)), strict=True):
                     if ((i or 0) % 2 == 1) != (version == 2):
                         continue
                     body = (html or "").encode()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -66,20 +67,20 @@ class Codec:
             self.length[rank] = len(token)
         self.lengths = self.length.tolist()
         self.mask_bits, self.store_chars = mask_bits, store_chars
-        self.store: dict[str, list[int]] = {}
+        self.store: dict[str, array] = {}
         self.stored = self.encoded = self.reused = 0
 
     def _chunk(self, chunk: str) -> list[int]:
         got = self.store.get(chunk)
         if got is not None:
             self.reused += 1
-            return got
+            return got.tolist()
         self.encoded += 1
         got = self.encoding.encode_ordinary(chunk)
         if self.stored + len(chunk) > self.store_chars:
             self.store.clear()
             self.stored = 0
-        self.store[chunk] = got
+        self.store[chunk] = array("i", got)
         self.stored += len(chunk)
         return got
 
@@ -188,13 +189,12 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PAT
     def encode(batches):
         c = codec(vocabulary, pattern, mask_bits)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for first, group in _text.pieces(texts, 500_000):
+            for first, group in _text.pieces(batch.column(at)):
                 found, good = [], []
                 for t, cuts in zip(group, cut_points(group, mask_bits), strict=True):
                     found.append(c.encode(t, cuts))
                     good.append(c.decode(found[-1]) == t.encode())
-                null = np.array([texts[first + i] is None for i in range(len(group))])
+                null = batch.column(at).slice(first, len(group)).is_null().to_numpy(zero_copy_only=False)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null, False)) if null.any() else pa.array(offsets), pa.array(np.concatenate(found)))
                 part = batch.slice(first, len(group))

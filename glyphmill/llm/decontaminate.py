@@ -34,7 +34,7 @@ def shingle_positions(rows: DataFrame, k: int, only: np.ndarray | None = None) -
     def find(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, group in _text.pieces(batch.column(1).to_pylist()):
+            for first, group in _text.pieces(batch.column(1)):
                 h, _, _, of = _text.words(group)
                 s = _text.shingles(h, k)
                 ok = _text.inside(of, k)

@@ -50,7 +50,7 @@ def signature(shingles: np.ndarray, coords: int, seed: int = 1) -> np.ndarray:
     return out
 
 
-def shingle_sets(texts: list[str | None], k: int):
+def shingle_sets(texts: pa.Array | list, k: int):
     """The sorted distinct k-word shingles of each text in turn; of a text of
     fewer words the one shingle of all its words, of one without words none."""
     for _, group in _text.pieces(texts):
@@ -75,7 +75,7 @@ def _sketches(rows: DataFrame, k: int, bands: int, per_band: int) -> DataFrame:
             ids = batch.column(0).to_pylist()
             out: list[list] = [[], [], [], []]
             sigs = []
-            for i, s in zip(ids, shingle_sets(batch.column(1).to_pylist(), k), strict=True):
+            for i, s in zip(ids, shingle_sets(batch.column(1), k), strict=True):
                 if len(s):
                     m = _text.mix(s ^ np.uint64(0x9E3779B97F4A7C15))
                     for c, v in zip(out, (i, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64))), strict=True):
@@ -99,9 +99,9 @@ def _verified(edges: DataFrame, texts: DataFrame, k: int, min_jaccard: float) ->
     def verify(batches):
         centre, sets = None, []
         for batch in batches:
-            us, ids, sides, texts_ = (c.to_pylist() for c in batch.columns)
+            us, ids, sides = (c.to_pylist() for c in batch.columns[:3])
             found: list[list[int]] = [[], []]
-            for u, i, side, s in zip(us, ids, sides, shingle_sets(texts_, k), strict=True):
+            for u, i, side, s in zip(us, ids, sides, shingle_sets(batch.column(3), k), strict=True):
                 if u != centre:
                     centre, sets = u, []
                 if side == 0:

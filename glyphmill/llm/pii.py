@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm import _text
 from glyphmill.llm._shared import cut
 from glyphmill.ship import ship
 
@@ -283,7 +284,7 @@ def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     def entities(batches):
         keyed = Keyed(key.encode())
         for batch in batches:
-            seen = {(kind, c) for t in batch.column(0).to_pylist() if t for kind, _, _, c in find(t)}
+            seen = {(kind, c) for t in _text.each(batch.column(0)) if t for kind, _, _, c in find(t)}
             rows = sorted(seen)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([surrogate(keyed, *r) for r in rows], pa.string())], ["kind", "canonical", "new"])
 
@@ -341,7 +342,7 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text", count_col: str
 
         def mentions(batches):
             for b in batches:
-                rows = sorted({(h, k, c) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for k, _, _, c in find(t)})
+                rows = sorted({(h, k, c) for h, t in zip(b.column(0).to_pylist(), _text.each(b.column(1)), strict=True) if t for k, _, _, c in find(t)})
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["_h", "kind", "canonical"])
 
         named = docs.select(F.xxhash64(text_col).alias("_h"), text_col).mapInArrow(mentions, "_h long, kind string, canonical string").distinct()

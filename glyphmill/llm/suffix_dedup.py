@@ -281,7 +281,7 @@ def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, group in _text.pieces(batch.column(1).to_pylist()):
+            for first, group in _text.pieces(batch.column(1)):
                 got = _anchored(group, min_words)
                 if got:
                     held.append((ids[first + got[0]], *got[1:]))
