@@ -25,19 +25,12 @@ def _key(line: Column) -> Column:
 def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
     """``host, lines``: hashes of the lines on more than ``max_ratio`` of the
     host's pages, and on ``min_pages`` pages at least."""
-    # no page is looked at twice: a page's own total rides along as a null line
-    lines = F.transform(F.array_distinct(F.transform(F.split("t", "\n"), _key)), lambda x: F.when(x != "", F.xxhash64(x)))
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("t"))
-    one = F.array_union(F.filter(F.coalesce(lines, F.array().cast("array<bigint>")), lambda x: x.isNotNull()), F.array(F.lit(None).cast("bigint")))
-    counts = pages.select("host", F.explode(one).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
-    often = counts.where((F.col("n") >= min_pages))
-    lines_of = F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "n")))
-    total = F.max(F.when(F.col("h").isNull(), F.col("n")))
-    return (
-        often.groupBy("host").agg(lines_of.alias("all"), total.alias("total"))
-        .select("host", F.transform(F.filter("all", lambda x: x["n"] > max_ratio * F.col("total")), lambda x: x["h"]).alias("lines"))
-        .where(F.size("lines") > 0)
-    )
+    lines = F.array_distinct(F.transform(F.filter(F.transform(F.split("t", "\n"), _key), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    often = pages.select("host", F.explode(lines).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = pages.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("total"))  # reads the hosts' column alone
+    beyond = often.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > max_ratio * F.col("total"))
+    return beyond.groupBy("host").agg(F.collect_list("h").alias("lines"))
 
 
 def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5, count_col: str | None = None) -> DataFrame:
