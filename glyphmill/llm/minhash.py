@@ -141,8 +141,9 @@ def _groups(docs, k, min_jaccard, bands, per_band, id_col, text_col):
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
     sketches = cut(_sketches(rows, k, bands, per_band))
-    same = cut(sketches.groupBy("n", "s1", "s2").agg(F.min("id").alias("u"), F.collect_set("id").alias("ids"), F.first("bands").alias("bands")))
-    copies = same.where(F.size("ids") > 1).select("u", F.explode("ids").alias("v")).where("u <> v")
+    same = cut(sketches.groupBy("n", "s1", "s2").agg(F.min("id").alias("u"), F.max("id").alias("most"), F.first("bands").alias("bands")))
+    # a set may have any number of copies, so they aren't gathered in one row
+    copies = sketches.select("n", "s1", "s2", F.col("id").alias("v")).join(same.where("u <> most").select("n", "s1", "s2", "u"), ["n", "s1", "s2"]).select("u", "v").where("u <> v")
     buckets = cut(same.select("u", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("u").alias("us")).where(F.size("us") > 1).select(F.sort_array("us").alias("us")).distinct())
     star = cut(buckets.select(F.element_at("us", 1).alias("u"), F.explode("us").alias("v")).where("u <> v").distinct())
     wanted = cut(buckets.select(F.explode("us").alias("id")).distinct())
