@@ -165,15 +165,18 @@ def train(samples: dict[str, list[str]], hold_out: int = 4) -> Model:
     counts = {n: _counts(fit[n]) for n in names}
     alphabet = len(np.unique(np.concatenate([counts[n][0][0] for n in names]))) + 1
     for k in range(ORDER):
-        everything = np.unique(np.concatenate([counts[n][k][0] for n in names]))
+        # contexts too, for their back-off weights: the spaces before a text end no n-gram
+        contexts = [counts[n][k + 1][2] for n in names] if k + 1 < ORDER else []
+        everything = np.unique(np.concatenate([*(counts[n][k][0] for n in names), *contexts]))
         model.hashes.append(everything)
         model.logp.append(np.zeros((len(everything), len(names)), np.float32))
         model.backoff.append(np.zeros((len(everything), len(names)), np.float32))
     # where each n-gram of the union has its context and its shorter n-gram
     link: list[dict[int, np.ndarray]] = []
+    spaces = [g[-1] for g in grams(np.full(ORDER, 32, np.uint32))]
     for k in range(1, ORDER):
-        ctx = np.zeros(len(model.hashes[k]), np.uint64)
-        short = np.zeros(len(model.hashes[k]), np.uint64)
+        ctx = np.full(len(model.hashes[k]), spaces[k - 1])
+        short = ctx.copy()
         for n in names:
             at = np.searchsorted(model.hashes[k], counts[n][k][0])
             ctx[at], short[at] = counts[n][k][2], counts[n][k][3]
