@@ -83,7 +83,7 @@ def nearest(q_id, q, q_table, q_bound, x_id, x, x_table, k: int, first: int = 64
             continue
         if len(cols) > k:
             limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] + slack)
-        i, j = np.nonzero(d <= limit[:, None] + slack)
+        i, j = np.nonzero((d <= limit[:, None] + slack) & np.isfinite(d))
         if not len(i):
             continue
         exact = np.concatenate([np.sqrt(((q[at + i[s : s + 100_000]] - x[cols[j[s : s + 100_000]]]) ** 2).sum(axis=1)) for s in range(0, len(i), 100_000)])
