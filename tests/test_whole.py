@@ -51,3 +51,25 @@ def test_every_document_is_a_query(spark):
     assert {r["query"] for r in q} == every
     some = entry.queries()["query_protocol"](spark, DIR).collect()
     assert {tuple(r) for r in some} == {tuple(r) for r in q if r["query"] % 100 == 0}
+
+
+@pytest.mark.parametrize("block", [7, 1 << 13])
+def test_pairs_against_brute_force(spark, signed, block):
+    rows, s = signed
+    every = sorted((differing(x, y), a, b) for a, x in rows for b, y in rows if a < b)
+    got = [(r.differing, r.a, r.b) for r in neighbors.pairs_within(s, 12, block=block).collect()]
+    assert sorted(got) == [p for p in every if p[0] <= 12]
+    best = [(r.differing, r.a, r.b) for r in neighbors.best_pairs(s, 150, block=block).collect()]
+    assert best == every[:150]
+
+
+@there
+def test_graphs_are_of_all_pairs(spark):
+    sig = [(r["key"], r["bands"]) for r in entry.queries()["doc_signature"](spark, DIR).collect()]
+    every = sorted((differing(x, y), a, b) for a, x in sig for b, y in sig if a < b)
+    got = entry.queries()["threshold_graph_all"](spark, DIR).collect()
+    assert sorted((r.differing, r.a, r.b) for r in got) == [p for p in every if p[0] <= 48]
+    best = entry.queries()["beam_graph_all"](spark, DIR).collect()
+    assert [(r.differing, r.a, r.b) for r in best] == every[:200]
+    near = {(r.query, r.key) for r in entry.queries()["beam_kbest_all"](spark, DIR).collect()}
+    assert near == {(q, k) for q, x in sig for _, k in sorted((differing(x, y), k) for k, y in sig)[:5]}
