@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from glyphmill.operators import neighbors
+from glyphmill.plans import sketches
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 there = pytest.mark.skipif(not os.path.exists(DIR), reason="no tables here")
@@ -73,3 +74,20 @@ def test_graphs_are_of_all_pairs(spark):
     assert [(r.differing, r.a, r.b) for r in best] == every[:200]
     near = {(r.query, r.key) for r in entry.queries()["beam_kbest_all"](spark, DIR).collect()}
     assert near == {(q, k) for q, x in sig for _, k in sorted((differing(x, y), k) for k, y in sig)[:5]}
+
+
+@there
+def test_coefficients_of_all_events(spark):
+    used, want = {}, {}
+    events = sorted(spark.read.parquet(f"{DIR}/events.parquet").collect(), key=lambda r: r.event_id)
+    for r in events:
+        before = used.get(r.user_id, 0)
+        for k in (1, 2, 3):
+            at = r.user_id, r.event_type, k
+            want[at] = want.get(at, 0.0) + 0.5**before - 0.5 ** (before + k)
+        used[r.user_id] = before + 1 + r.event_id % 2
+    got = {(r.user_id, r.feature, r.k): r.coefficient for r in entry.queries()["allocation_coefficients_all"](spark, DIR).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-5 for x in got)
+    # the events of the tables may be fewer than the bound of the query with SQL
+    more = spark.createDataFrame([(5000 + i, i % 2, "a") for i in range(4)], "event_id bigint, user_id bigint, event_type string")
+    assert sketches._coefficients(more).count() == 6
