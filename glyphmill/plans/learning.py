@@ -70,11 +70,17 @@ def aligned_weights(spark, d):
 
 @query(f"WITH {TOK}, f AS (SELECT feature, dense_rank() OVER (ORDER BY feature) AS id FROM (SELECT DISTINCT feature FROM tk)) SELECT key, id, value FROM tk JOIN f USING (feature) WHERE id % 10 = 0")
 def instance_features(spark, d):
+    """Word counts by feature id, of every tenth id."""
+    return instance_features_all(spark, d).where("id % 10 = 0")
+
+
+@query()
+def instance_features_all(spark, d):
     """Word counts by feature id."""
     from glyphmill.sources.readers import feature_ids
 
     w = words(spark, d)
-    return w.join(feature_ids(w), "feature").where("id % 10 = 0").select("key", "id", "value")
+    return w.join(feature_ids(w), "feature").select("key", "id", "value")
 
 
 @query("WITH s AS (SELECT conv_id AS key, turn AS seq, (length(text) % 11 - 5) / 10.0 AS value FROM conversations) SELECT key, seq, round(1 / (1 + exp(-sum(value) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))), 9) AS probability FROM s")

@@ -55,8 +55,18 @@ def message_blocks(spark, d):
 
 @query("SELECT conv_id, turn, role AS author, regexp_extract_all(lower(text), '(h[^\\n]{3}:/[^\\p{Zs}\\[]+|@[\\p{Ll}\\p{Lu}\\p{Nd}_]*|#[\\p{Ll}\\p{Lu}\\p{Nd}]*|[\\p{Ll}\\p{Lu}\\p{Nd}]+)', 1) AS content FROM conversations WHERE NOT contains(text, chr(9))")
 def tweet_parse(spark, d):
-    c = table(spark, d, "conversations").where(~F.col("text").contains("\t"))
-    x = readers.tweets(F.concat(F.col("turn").cast("string"), F.lit("\t"), F.col("role"), F.lit("\t"), F.col("text")))
+    return _tweets(table(spark, d, "conversations").where(~F.col("text").contains("\t")))
+
+
+@query()
+def tweet_parse_all(spark, d):
+    """As tweet_parse, of all texts; a tab, which parts columns, becomes a space."""
+    return _tweets(table(spark, d, "conversations"))
+
+
+def _tweets(c):
+    text = F.translate(F.coalesce("text", F.lit("")), "\t", " ")
+    x = readers.tweets(F.concat(F.col("turn").cast("string"), F.lit("\t"), F.col("role"), F.lit("\t"), text))
     return c.select("conv_id", "turn", x.alias("x")).select("conv_id", "turn", "x.author", "x.content")
 
 

@@ -132,7 +132,17 @@ def ngram_neighbours(spark, d):
 @query("SELECT c_custkey, r_name AS dst, 0.5::DOUBLE + (n_nationkey % 3) AS weight FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0")
 def weighted_projection(spark, d):
     """Nations through a dictionary to regions; those without an entry go."""
-    n = table(spark, d, "nation").where("n_nationkey % 2 = 0").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return _projection(spark, d, table(spark, d, "nation").where("n_nationkey % 2 = 0"))
+
+
+@query()
+def weighted_projection_all(spark, d):
+    """As weighted_projection, with an entry for every nation."""
+    return _projection(spark, d, table(spark, d, "nation"))
+
+
+def _projection(spark, d, nations):
+    n = nations.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     dictionary = n.select(F.col("n_nationkey").alias("src"), F.col("r_name").alias("dst"), (F.col("n_nationkey") % 3 + 0.5).alias("weight"))
     return ngrams.project(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("token")), dictionary).select("c_custkey", "dst", "weight")
 

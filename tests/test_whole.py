@@ -91,3 +91,26 @@ def test_coefficients_of_all_events(spark):
     # the events of the tables may be fewer than the bound of the query with SQL
     more = spark.createDataFrame([(5000 + i, i % 2, "a") for i in range(4)], "event_id bigint, user_id bigint, event_type string")
     assert sketches._coefficients(more).count() == 6
+
+
+@there
+def test_features_of_all_ids(spark):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    ids = {w: i + 1 for i, w in enumerate(sorted({w for _, t in texts for w in (t or "").split()}))}
+    got = entry.queries()["instance_features_all"](spark, DIR)
+    assert got.agg({"id": "max"}).first()[0] == got.select("id").distinct().count() >= 0.99 * len(ids)
+    some = entry.queries()["instance_features"](spark, DIR).count()
+    assert got.where("id % 10 = 0").count() == some < got.count()
+
+
+@there
+def test_no_customer_of_a_nation_goes(spark):
+    customers = spark.read.parquet(f"{DIR}/customer.parquet").count()
+    assert entry.queries()["weighted_projection_all"](spark, DIR).count() == customers
+
+
+def test_tweets_with_tabs_stay(spark, tmp_path):
+    rows = [(1, 0, "user", "one\ttwo #x"), (1, 1, "user", "three"), (2, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.content for r in entry.queries()["tweet_parse_all"](spark, str(tmp_path)).collect()}
+    assert got[1, 0] == ["one", "two", "#x"] and got[1, 1] == ["three"] and not got[2, 0] and len(got) == 3
