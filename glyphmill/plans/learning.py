@@ -59,13 +59,19 @@ def model_extent(spark, d):
 
 @query(f"WITH {TOK}, {MODEL} SELECT CAST(row_number() OVER (ORDER BY feature) AS BIGINT) AS id, feature, weight FROM md ORDER BY weight DESC, feature LIMIT 50")
 def aligned_weights(spark, d):
+    """The 50 greatest of aligned_weights_all."""
+    return aligned_weights_all(spark, d).limit(50)
+
+
+@query()
+def aligned_weights_all(spark, d):
     """Weights by line number with the features of a map, greatest first."""
     from glyphmill.sources.readers import feature_ids
 
     w = weights(spark, d)
     ids = feature_ids(w)
     lines = ids.join(w, "feature").select("id", "weight")
-    return lines.join(ids, "id").select("id", "feature", "weight").orderBy(F.desc("weight"), "feature").limit(50)
+    return lines.join(ids, "id").select("id", "feature", "weight").orderBy(F.desc("weight"), "feature")
 
 
 @query(f"WITH {TOK}, f AS (SELECT feature, dense_rank() OVER (ORDER BY feature) AS id FROM (SELECT DISTINCT feature FROM tk)) SELECT key, id, value FROM tk JOIN f USING (feature) WHERE id % 10 = 0")
@@ -139,9 +145,12 @@ def event_windows(spark, d):
     return state.windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 6))
 
 
+def _fields(spark, d):
+    return words(spark, d).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.col("value").cast("double").alias("v")))).alias("fields"))
+
+
 def _instances(spark, d):
-    counts = words(spark, d).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.col("value").cast("double").alias("v")))).alias("fields"))
-    return counts.join(table(spark, d, "labels").withColumnRenamed("doc_id", "key"), "key")
+    return _fields(spark, d).join(table(spark, d, "labels").withColumnRenamed("doc_id", "key"), "key")
 
 
 @query()
@@ -162,16 +171,16 @@ def pa_binary(spark, d):
 
 @query()
 def pa_regression(spark, d):
-    """Document length from words, tolerance 1."""
-    i = _instances(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "n_chars"), "key")
+    """Document length from words, tolerance 1: the weights of all features."""
+    i = _fields(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "n_chars"), "key")
     x = i.select(F.lit("len").alias("model"), F.col("key").alias("seq"), (F.col("n_chars") / 100.0).alias("label"), "fields")
-    return linear.train(x, epochs=2, variant=1, c=0.01, tolerance=1.0).orderBy(F.desc("weight"), "feature").limit(100)
+    return linear.train(x, epochs=2, variant=1, c=0.01, tolerance=1.0).orderBy(F.desc("weight"), "feature")
 
 
 @query()
 def pa_multiclass(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "lang")
-    i = _instances(spark, d).join(docs, "key")
+    i = _fields(spark, d).join(docs, "key")
     x = i.select(F.lit("lang").alias("model"), F.col("key").alias("seq"), F.array("lang").alias("labels"), "fields")
     w = linear.train_multiclass(x, epochs=1)
     s = linear.dot(i.select("key", F.explode("fields").alias("feature", "value")), w.drop("model"))

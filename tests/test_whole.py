@@ -114,3 +114,21 @@ def test_tweets_with_tabs_stay(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.conv_id, r.turn): r.content for r in entry.queries()["tweet_parse_all"](spark, str(tmp_path)).collect()}
     assert got[1, 0] == ["one", "two", "#x"] and got[1, 1] == ["three"] and not got[2, 0] and len(got) == 3
+
+
+@there
+def test_learners_take_every_document(spark):
+    texts = spark.read.parquet(f"{DIR}/documents.parquet").select("text").collect()
+    used = [set(r.text.split()) for r in texts if r.text and r.text.split()]
+    got = entry.queries()["pa_multiclass"](spark, DIR).collect()
+    assert sum(r.n for r in got) == len(used)
+    w = [r.feature for r in entry.queries()["pa_regression"](spark, DIR).collect()]
+    assert len(w) == len(set(w)) > 0.9 * len(set().union(*used))
+
+
+@there
+def test_weights_of_all_features_are_aligned(spark):
+    got = [(r.id, r.feature, r.weight) for r in entry.queries()["aligned_weights_all"](spark, DIR).collect()]
+    assert len(got) == entry.queries()["aligned_weights_all"](spark, DIR).select("id").distinct().count() > 50
+    assert got == sorted(got, key=lambda r: (-r[2], r[1]))
+    assert [tuple(r) for r in entry.queries()["aligned_weights"](spark, DIR).collect()] == got[:50]
