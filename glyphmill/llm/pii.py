@@ -11,6 +11,7 @@ meet, so all names of the corpus are checked and later ones drawn again.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -41,6 +42,7 @@ _SYLLABLES = {
     "cyrillic": [a + b for a in "б в г д ж к л м н п р с т".split() for b in "а е и о у ан ар ен ер ин ов".split()],
 }
 _WORD = r"[^\W\d_]"
+_NAME = rf"{_WORD}+(?:-{_WORD}+)?"
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "secret": r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<!\w)(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[\w+/-]{8,})",
@@ -49,12 +51,17 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,4}(?:\d{3})?(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.(+-])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.+-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])",
-    "name": rf"(?<!\w)(?P<title>{'|'.join(sorted(map(re.escape, (t[0].upper() + t[1:] for t in _TITLES)), key=len, reverse=True))})\.? (?P<first>{_WORD}+(?:-{_WORD}+)?)(?: (?P<last>{_WORD}+(?:-{_WORD}+)?))?(?!\w)",
+    "name": rf"(?<!\w)(?P<title>{'|'.join(sorted(map(re.escape, (t[0].upper() + t[1:] for t in _TITLES)), key=len, reverse=True))})\.? (?P<names>{_NAME}(?: (?:{_WORD}\.(?= )|{_NAME})){{0,4}})(?!\w)",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: No entity is in a text without one of these.
 _HINT = re.compile(rf"[0-9@]|(?:{'|'.join(sorted(map(re.escape, (t[0].upper() + t[1:] for t in _TITLES)), key=len, reverse=True))})\.? |[Kk][Ee][Yy]|(?i:passw|pwd|secret|token)")
 
+_UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
+_PART = re.compile(rf"{_WORD}\.(?= )|{_NAME}")
+_PAIR = re.compile(rf"[{_UPPER}]{_WORD}+(?= [{_UPPER}])")
+_AFTER = re.compile(rf"{_NAME}(?: (?:{_WORD}\.(?= )|{_NAME})){{1,4}}(?!\w)")
+
 
 class Keyed:
     """Keyed permutations."""
@@ -149,31 +156,71 @@ def _cased(like: str, word: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else "-".join(p[:1].upper() + p[1:] for p in word.split("-")) if like[0].isupper() else word
 
 
+def _named(text: str, at: int, end: int, gender: str):
+    """The entities of a name's words in text[at:end]: a first name, initials and
+    listed given names in the middle, a last name."""
+    words = []
+    for w in _PART.finditer(text, at, end):
+        middle = len(words) > 1 and (words[-1][2] is None or words[-1][3] is not None)
+        if not w[0][0].isupper() or _script(w[0]) is None or len(words) > 1 and not middle:
+            break
+        initial = w[0].endswith(".")
+        words.append((*w.span(), None if initial else w[0].lower(), None if initial else _GIVEN.get(w[0].lower())))
+    while words and words[-1][2] is None:
+        words.pop()
+    for n, (i, j, low, given) in enumerate(words):
+        if low is None:
+            continue
+        # the first of two names is a given name; one alone is a surname unless listed
+        is_given = n == 0 and (given is not None or len(words) > 1) or 0 < n < len(words) - 1
+        g = (given[1] if given else gender) if is_given else ""
+        yield "name", i, j, f"{_script(low)}|{g}|{low}"
+
+
 def find(text: str):
     """(type, start, end, canonical form) of each entity in turn. The canonical
     form is what makes two mentions one entity: digits alone of numbers, lower
-    case of addresses, of names script, gender and name, one for each name."""
-    if not _HINT.search(text):
-        return
+    case of addresses, of names script, gender and name, one for each name.
+
+    Names are those after a title, those of a listed given name and a capitalised
+    word, and every later or earlier capitalised mention of either in the text."""
+    found = list(_marked(text)) if _HINT.search(text) else []
+    for m in _PAIR.finditer(text):
+        a = m.start()
+        if m[0].lower() in _GIVEN and not (a and (text[a - 1].isalnum() or text[a - 1] in "_-")):
+            whole = _AFTER.match(text, a)
+            got = list(_named(text, a, whole.end(), "")) if whole else []
+            if len(got) > 1:
+                found += _free(found, got)
+    names = {}
+    for kind, a, b, c in found:
+        if kind == "name" and b - a > 1:
+            names.setdefault(text[a:b].lower(), c)
+    if names:
+        forms = {text[a:b] for k, a, b, _ in found if k == "name"} | {f for n in names for f in (_cased("X" + n[1:], n), n.upper())}
+        again = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(forms, key=len, reverse=True)))})(?![\w-])")
+        found += _free(found, [("name", *m.span(), names[m[0].lower()]) for m in again.finditer(text) if m[0].lower() in names])
+    yield from sorted(found, key=lambda e: e[1])
+
+
+def _free(found: list[tuple], more: list[tuple]) -> list[tuple]:
+    """Those of ``more`` that overlap none found."""
+    held = sorted((e[1], e[2]) for e in found)
+    out = []
+    for e in more:
+        i = bisect.bisect_left(held, (e[2], 0))
+        if i == 0 or held[i - 1][1] <= e[1]:
+            out.append(e)
+    return out
+
+
+def _marked(text: str):
+    """The entities that their form or a title tells."""
     for m in _ANY.finditer(text):
         kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m.group(k) is not None)
         a, b = m.span()
         if kind == "name":
-            title = m.group("title").lower()
-            gender = _TITLES[title]
-            for part in ("first", "last"):
-                word = m.group(part)
-                if word is None or not word[0].isupper():
-                    break
-                script = _script(word)
-                if script is None:
-                    break
-                low = word.lower()
-                given = _GIVEN.get(low)
-                # the first of two names is a given name; one alone is a surname unless listed
-                is_given = part == "first" and (given is not None or m.group("last") is not None and m.group("last")[0].isupper())
-                g = (given[1] if given else gender) if is_given else ""
-                yield "name", *m.span(part), f"{script}|{g}|{low}"
+            yield from _named(text, *m.span("names"), _TITLES[m.group("title").lower()])
         elif kind == "secret":
             if m.group("value") is not None:
                 a, b = m.span("value")

@@ -1,0 +1,16 @@
+from glyphmill.llm import pii
+
+
+def test_all_mentions_of_a_name_in_a_document():
+    text = "Dr. Anna B. Schmidt wrote. Anna Schmidt came, Schmidt said. Karl Otto Weber too; WEBER left. Weberei stays, Paris stays."
+    new, kinds = pii.replace(pii.Keyed(b"k"), text, {})
+    assert not any(n in new for n in ("Anna", "Schmidt", "Karl", "Otto", "Weber ", "WEBER")) and kinds == ["name"] * 9
+    assert "Weberei stays, Paris stays." in new and " B. " in new
+    first, last = new.split()[1], new.split()[3].rstrip(".")
+    assert f"{first} {last} came, {last} said" in new
+
+
+def test_names_in_other_entities_stay_whole():
+    text = "Mr. Paul Weber, mail Weber@e.org, and no name in Good Morning"
+    got = list(pii.find(text))
+    assert [e[0] for e in got] == ["name", "name", "email"] and got == sorted(got, key=lambda e: e[1])
