@@ -132,3 +132,14 @@ def test_weights_of_all_features_are_aligned(spark):
     assert len(got) == entry.queries()["aligned_weights_all"](spark, DIR).select("id").distinct().count() > 50
     assert got == sorted(got, key=lambda r: (-r[2], r[1]))
     assert [tuple(r) for r in entry.queries()["aligned_weights"](spark, DIR).collect()] == got[:50]
+
+
+@pytest.mark.parametrize("block", [7, 1 << 15])
+def test_partners_against_all_pairs(spark, signed, block):
+    rows, s = signed
+    want = {a: sum(a != b and differing(x, y) < 40 for b, y in rows) for a, x in rows}
+    got = {r.key: r.partners for r in neighbors.partners_within(s, 40, block=block).collect()}
+    assert got == {a: n for a, n in want.items() if n}
+    # no band is shared here, which the search by bands needs
+    apart = spark.createDataFrame([(1, [0] * 16), (2, [1] * 16)], "key bigint, bands array<int>")
+    assert neighbors.near_duplicates(apart, 40).count() == 0 and neighbors.partners_within(apart, 40).count() == 2
