@@ -8,7 +8,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from test_operators import ALPHABETS, DOCS, contained, groups_by_hand, prose, rows
+from test_llm_operators import ALPHABETS, DOCS, contained, groups_by_hand, prose, rows
 
 
 @pytest.fixture(scope="module")
