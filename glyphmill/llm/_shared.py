@@ -1,34 +1,24 @@
-"""Helpers for cutting lineage and for reading the session's settings."""
+"""Helpers of the operators: cut lineage, name rows, tell texts apart."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from glyphmill.storage import cut, free_names, new_path, quoted, shared_dir
 
-_OWN: list[str] = []
+__all__ = ["col", "cut", "digest", "free_names", "new_path", "quoted", "shared_dir"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a folder
-    of this machine only where the session names none, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="glyphmill-"))
-    return _OWN[0]
+def col(name: str) -> Column:
+    """A top-level column by its name, which may hold dots."""
+    return F.col(quoted(name))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once as Parquet in the shared folder and reread, so
-    that later uses neither compute them again nor depend on lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def digest(text: Column) -> Column:
+    """16 bytes that tell texts apart; null of null."""
+    return F.unhex(F.md5(text))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
+def shuffle_partitions(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,6 +5,7 @@ empty tables, clashing columns)."""
 from __future__ import annotations
 
 import gzip
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -33,7 +34,7 @@ def clashing(df):
     """With columns named like the operators' own."""
     from pyspark.sql import functions as F
 
-    for c in ("id", "t", "h", "u", "v", "host", "lines", "pos", "kind", "_host", "_gone", "_bad", "cell", "text_hash", "Bucket"):
+    for c in ("id", "t", "h", "u", "v", "x", "y", "whole", "host", "lines", "pos", "kind", "_host", "_gone", "_bad", "cell", "text_hash", "Bucket", "_nth", "_new", "_h", "_again", "_judged", "_lines_gone", "found", "dg", "a.b", "back`tick"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -275,50 +276,57 @@ def test_line_dedup(spark):
 
 
 def groups_by_hand(texts, k, t):
-    sets = []
-    for d, s in zip([d for d, _ in texts], minhash.shingle_sets([x for _, x in texts], k), strict=True):
-        if d is not None and len(s):
-            sets.append((d, set(s.tolist())))
-    up = {d: d for d, _ in sets}
+    """(doc_id, group_id, n_links, keep) of each row, all pairs compared."""
+    sets = [set(s.tolist()) for s in minhash.shingle_sets([x for _, x in texts], k)]
+    up, links = list(range(len(texts))), [0] * len(texts)
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
-            if len(x & y) >= t * len(x | y):
-                ra, rb = root(a), root(b)
-                up[max(ra, rb)] = min(ra, rb)
-    size = defaultdict(int)
-    for d in up:
-        size[root(d)] += 1
-    return sorted((d, root(d), d == root(d)) for d in up if size[root(d)] > 1)
-
-
-def test_near_duplicates(spark, corpus):
-    got = rows(minhash.near_duplicates(clashing(docs(spark, corpus))))
-    assert got == groups_by_hand(corpus, 3, 0.5)
-    assert {(303, 300, False), (320, 300, False), (403, 402, False), (310, 300, False)} <= set(got)
-
-
-def test_near_duplicates_over_chains(spark):
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and len(x & y) >= t * len(x | y):
+                links[i] += 1
+                links[j] += 1
+                up[root(i)] = root(j)
+    first = {}
+    for i, (d, text) in enumerate(texts):
+        by = d is None, d, hashlib.md5((text or "").encode()).digest(), i
+        if root(i) not in first or [x for x in by if x is not None] < [x for x in first[root(i)] if x is not None]:
+            first[root(i)] = by
+    return sorted(((d, first[root(i)][1], links[i], first[root(i)][3] == i) for i, (d, _) in enumerate(texts)), key=repr)
+
+
+@pytest.mark.parametrize("nodes", [2048, 3])
+def test_near_duplicates(spark, corpus, nodes):
+    got = rows(minhash.near_duplicates(clashing(docs(spark, corpus)), block_nodes=nodes))
+    assert [r[:3] for r in got] == [r[:3] for r in groups_by_hand(corpus, 3, 0.5)]
+    kept = [r[1] for r in got if r[3]]
+    assert len(kept) == len([r for r in got if r[2] == 0]) + len({r[1] for r in got if r[2]})
+    assert {(303, 300, False), (320, 300, False), (403, 402, False), (310, 300, False), (300, 300, True)} <= {(r[0], r[1], r[3]) for r in got}
+
+
+@pytest.mark.parametrize("nodes", [2048, 4])
+def test_near_duplicates_over_chains(spark, nodes):
     """Texts each near to the next: a bucket's least is not near to all others."""
     rng = random.Random(8)
     words = prose(rng, 400, 240).split()
-    texts = [(i, " ".join(words[12 * i : 12 * i + 60])) for i in range(25)]
-    got = {(r[0], r[1]) for r in rows(minhash.near_duplicates(docs(spark, texts), bands=100))}
-    want = {(r[0], r[1]) for r in groups_by_hand(texts, 3, 0.5)}
+    texts = [(f"a-{i:02d}", " ".join(words[12 * i : 12 * i + 60])) for i in range(25)]
+    d = spark.createDataFrame(texts, "doc_id string, text string")
+    got = {r[:3] for r in rows(minhash.near_duplicates(d, bands=100, block_nodes=nodes))}
+    want = {r[:3] for r in groups_by_hand(texts, 3, 0.5)}
     assert len(got & want) >= 0.9 * len(want)
 
 
 def test_drop_near_duplicates(spark, corpus):
-    d = clashing(docs(spark, corpus))
+    more = [*corpus, (0, "unlike text under one id here"), (None, "no id at all in this one"), (None, "no id at all in this one"), (None, corpus[0][1])]
+    d = clashing(docs(spark, more))
     out = minhash.drop_near_duplicates(d)
-    gone = {r[0] for r in groups_by_hand(corpus, 3, 0.5) if not r[2]}
     assert out.columns == d.columns
-    assert sorted(map(repr, (r.doc_id for r in out.collect()))) == sorted(map(repr, {c[0] for c in corpus} - gone))
+    want = sorted((r[0] for r in groups_by_hand(more, 3, 0.5) if r[3]), key=repr)
+    assert sorted((r.doc_id for r in out.collect()), key=repr) == want and want.count(0) == 2 and want.count(None) == 1
     assert rows(minhash.near_duplicates(docs(spark, []))) == [] and rows(minhash.drop_near_duplicates(docs(spark, []))) == []
 
 
