@@ -19,6 +19,3 @@ def digest(text: Column) -> Column:
     """16 bytes that tell texts apart; null of null."""
     return F.unhex(F.md5(text))
 
-
-def shuffle_partitions(spark):
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

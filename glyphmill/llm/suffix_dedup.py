@@ -1,33 +1,36 @@
 """Repeated passages by a distributed, prefix-aware merge sort of suffixes.
 
-The suffixes that are sorted start at *anchors*. Every window of ``min_words``
-words belongs to one anchor, the position of the least of its 10-word shingles
-by hash. The anchor depends on the window's words alone, so equal windows in
-different documents have equal anchors at equal distances, and sorting the
-suffixes from the anchors on brings every pair of equal windows together: a
-sparse suffix array that loses nothing.
-
-Each task sorts its suffixes, as sequences of block symbols, into runs, cuts the
-runs at fixed key ranges and sends them front-coded: of each suffix the length
-of the prefix shared with the suffix before it and only the symbols after that.
-A bucket merges its runs with a loser tree that carries those lengths along, so
-a comparison starts where the known common prefix ends. Neighbours that share
-their first block form a group; within a group windows are compared whole.
-
-Text is read once and never shuffled.
+Every window of ``min_words`` words belongs to one anchor, the position of the
+least of its 10-word blocks by hash. The anchor depends on the window's words
+alone, so equal windows have equal anchors at equal distances, and only windows
+whose anchor's block stands in two texts can be repeated. A count of the blocks at
+anchors, one in about twenty words, finds those; the rest of the text takes no
+further part, and equal texts are one text from the start.
+
+A suffix begins at each window that is left. Tasks sort their suffixes, as
+sequences of block symbols up to the prefix that tells repeated from unrepeated
+ones, into runs. A run keeps the places of equal suffixes to itself and sends each
+distinct one once, so a passage that a third of all texts share is one suffix a
+run. Runs are cut at fixed key ranges, as many as the number of suffixes asks for,
+and sent front-coded: of each suffix the length of the prefix shared with the
+suffix before it and only the symbols after that. A bucket merges its runs with a
+loser tree that carries those lengths along, so a comparison starts where the
+known common prefix ends. Neighbours in merged order whose common prefix is
+``min_words`` words are a repeated passage; the runs get that answer back.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import _text
-from glyphmill.llm._shared import shuffle_partitions
+from glyphmill.llm._shared import col, cut, digest
 from glyphmill.ship import ship
 
 BLOCK = 10
@@ -50,51 +53,44 @@ def _slide_argmin(v: np.ndarray, w: int) -> np.ndarray:
     return least[:n]
 
 
-def _anchored(texts: list[str], min_words: int):
-    """Anchors of the texts: text index, word position, key symbols, first
-    distance, window counts, and all windows' hashes in order of distance."""
-    h, _, _, of = _text.words(texts)
-    blocks = _text.shingles(h, BLOCK)
-    windows = _text.shingles(h, min_words)
-    ok = _text.inside(of, min_words)
-    if not len(windows):
-        return None
-    at = np.flatnonzero(ok)
-    if not len(at):
-        return None
-    # least by another hash than the key's own, else keys would crowd near 0
-    anchor = _slide_argmin(_text.mix(blocks ^ np.uint64(_SALT)), min_words - BLOCK + 1)[at]
-    head = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-    first = np.flatnonzero(head)
-    p = anchor[first]
-    count = np.diff(np.append(first, len(at)))
-    of_text = np.searchsorted(of, p, side="right") - 1
-    depth = -(-min_words // BLOCK)
-    keys = np.zeros((len(p), depth), np.uint64)
-    for j in range(depth):
-        there = p + BLOCK * (j + 1) <= of[of_text + 1]
-        keys[there, j] = blocks[p[there] + BLOCK * j]
-    # windows of one anchor start ever later, so their distances fall
-    return of_text, p - of[of_text], keys, p - at[first], count, windows[at]
-
-
-def encode_run(keys: np.ndarray, doc, pos, dist, count, windows) -> bytes:
-    """A run, sorted by key, front-coded."""
+class _Windows:
+    """The windows of ``n`` words of some texts: ``at`` where each begins among all
+    words, ``anchor`` of each, ``text`` that it is in; ``of`` where texts begin,
+    ``blocks`` the hash of the block at each word."""
+
+    def __init__(self, texts: list[str], n: int):
+        h, _, _, self.of = _text.words(texts)
+        size = min(BLOCK, n)
+        self.blocks = _text.shingles(h, size)
+        self.at = np.flatnonzero(_text.inside(self.of, n))
+        # least by another hash than the symbol's own, else keys would crowd near 0
+        self.anchor = _slide_argmin(_text.mix(self.blocks ^ np.uint64(_SALT)), n - size + 1)[self.at] if len(self.at) else self.at
+        self.text = np.searchsorted(self.of, self.at, side="right") - 1
+        last = n - size
+        self.offsets = [*range(0, last, size), last]
+
+    def symbols(self, starts: np.ndarray) -> np.ndarray:
+        """Blocks that together cover the window from each start."""
+        return np.stack([self.blocks[starts + o] for o in self.offsets], axis=1)
+
+
+def encode_run(keys: np.ndarray, base: int, least: np.ndarray, several: np.ndarray) -> bytes:
+    """Distinct suffixes sorted by key, the first being number ``base`` of its run,
+    front-coded; of each the least text that has it and whether several documents do."""
     n, depth = keys.shape
     lcp = np.zeros(n, np.uint8)
     if n > 1:
         lcp[1:] = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(axis=1)
     rest = keys[np.arange(depth)[None, :] >= lcp[:, None]]
-    head = np.array([n, depth, len(rest), len(windows)], np.int64)
-    parts = (head, rest, windows, doc.astype(np.int64), pos.astype(np.int32), dist.astype(np.int32), count.astype(np.int32), lcp)
-    return b"".join(x.tobytes() for x in parts)
+    head = np.array([n, depth, len(rest), base], np.int64)
+    return b"".join(x.tobytes() for x in (head, rest, least.astype(np.int64), lcp, several.astype(np.uint8)))
 
 
 class Run:
     """A front-coded run, read back."""
 
     def __init__(self, blob: bytes):
-        self.n, self.depth, n_rest, n_windows = np.frombuffer(blob, np.int64, 4).tolist()
+        self.n, self.depth, n_rest, self.base = np.frombuffer(blob, np.int64, 4).tolist()
         at = 32
 
         def take(kind, n):
@@ -103,21 +99,25 @@ class Run:
             at += out.nbytes
             return out
 
-        self.rest = take(np.uint64, n_rest).tolist()
-        self.windows = take(np.uint64, n_windows)
-        self.doc = take(np.int64, self.n)
-        self.pos, self.dist, self.count = (take(np.int32, self.n) for _ in range(3))
-        self.lcp = take(np.uint8, self.n).tolist()
+        self.rest = take(np.uint64, n_rest)
+        self.least = take(np.int64, self.n)
+        self.lcp = take(np.uint8, self.n)
+        self.several = take(np.uint8, self.n).astype(bool)
 
-    def heads(self) -> Iterator[tuple[int, list[int]]]:
+    def heads(self, step: int = 4096) -> Iterator[tuple[int, list[int]]]:
         """(prefix shared with the suffix before, symbols) of each suffix in turn."""
         key: list[int] = []
-        rest, depth, at = self.rest, self.depth, 0
-        for shared in self.lcp:
-            if shared < depth:
-                key = key[:shared] + rest[at : at + depth - shared]
-                at += depth - shared
-            yield shared, key
+        depth, at = self.depth, 0
+        for begin in range(0, self.n, step):
+            lcp = self.lcp[begin : begin + step]
+            size = int((depth - lcp.astype(np.int64)).sum())
+            rest, lcp = self.rest[at : at + size].tolist(), lcp.tolist()
+            at, i = at + size, 0
+            for shared in lcp:
+                if shared < depth:
+                    key = key[:shared] + rest[i : i + depth - shared]
+                    i += depth - shared
+                yield shared, key
 
 
 def merge(runs: list) -> Iterator[tuple[int, int]]:
@@ -181,62 +181,67 @@ def merge(runs: list) -> Iterator[tuple[int, int]]:
             node >>= 1
 
 
-def repeats(runs: list, min_words: int):
-    """Ranges of window starts whose window occurs in two documents or more:
-    doc, first and last start, least doc that has the window, whether this is
-    its first occurrence. Adjacent starts with like answers make one range."""
+def _repeated(runs: list[Run], names: list[int]) -> pa.Table:
+    """Of the runs' distinct suffixes that several documents have: by run, their
+    numbers and the least text of all that have them."""
     order = list(merge(runs))
-    if not order:
-        return None
-    run = np.array([r for r, _ in order], np.int32)
-    lcp = np.array([x for _, x in order], np.int32)
-    group = np.cumsum(lcp == 0)
-    several = np.bincount(group)[group] > 1
-    sizes = np.array([r.n for r in runs], np.int64)
-    base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    nth = np.empty(len(run), np.int64)  # each run's suffixes come in its own order
-    by_run = np.argsort(run, kind="stable")
-    nth[by_run] = np.arange(len(run))
-    assert base[-1] + sizes[-1] == len(run)
-    chosen = np.sort(nth[several])
-    if not len(chosen):
-        return None
-    doc = np.concatenate([r.doc for r in runs])
-    pos = np.concatenate([r.pos for r in runs]).astype(np.int64)
-    dist = np.concatenate([r.dist for r in runs]).astype(np.int64)
-    count = np.concatenate([r.count for r in runs]).astype(np.int64)
-    windows = np.concatenate([r.windows for r in runs])
-    start_of = np.concatenate(([0], np.cumsum(count)[:-1]))
-    chosen = chosen[np.lexsort((pos[chosen] - dist[chosen], doc[chosen]))]
-    c = count[chosen]
-    inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-    w = windows[np.repeat(start_of[chosen], c) + inner]
-    d = np.repeat(doc[chosen], c)
-    s = np.repeat((pos - dist)[chosen], c) + inner
-    by = np.argsort(w, kind="stable")  # within equal windows by document and start
-    ws, dd = w[by], d[by]
-    edge = np.concatenate(([True], ws[1:] != ws[:-1]))
-    first = np.flatnonzero(edge)
-    last = np.append(first[1:], len(ws)) - 1
-    length = last - first + 1
-    across = np.repeat(dd[first] != dd[last], length)
-    source = np.empty(len(w), np.int64)
-    source[by] = np.repeat(dd[first], length)
-    is_first = np.empty(len(w), bool)
-    is_first[by] = edge
-    yes = np.empty(len(w), bool)
-    yes[by] = across
-    d, s, source, is_first = d[yes], s[yes], source[yes], is_first[yes]
-    if not len(d):
-        return None
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1) | (source[1:] != source[:-1]) | (is_first[1:] != is_first[:-1])
+    out: list[list] = [[], [], []]
+    if order:
+        run, lcp = (np.array(x, np.int64) for x in zip(*order, strict=True))
+        nth = np.empty(len(run), np.int64)  # each run's suffixes come in its own order
+        nth[np.argsort(run, kind="stable")] = np.concatenate([np.arange(r.n) for r in runs])
+        base = np.concatenate(([0], np.cumsum([r.n for r in runs])[:-1]))
+        least = np.concatenate([r.least for r in runs])[base[run] + nth]
+        several = np.concatenate([r.several for r in runs])[base[run] + nth]
+        first = np.flatnonzero(lcp < runs[0].depth)  # less than the whole window in common with the one before
+        low, high = np.minimum.reduceat(least, first), np.maximum.reduceat(least, first)
+        yes = (low < high) | np.logical_or.reduceat(several, first)
+        size = np.diff(np.append(first, len(run)))
+        yes, low = np.repeat(yes, size), np.repeat(low, size)
+        for r, one in enumerate(runs):
+            mine = yes & (run == r)
+            if mine.any():
+                out[0].append(names[r])
+                out[1].append((one.base + nth[mine]).astype(np.int32).tobytes())
+                out[2].append(low[mine].tobytes())
+    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["run", "numbers", "sources"])
+
+
+def _stretches(tid, start, source, n: int):
+    """Ranges that windows (sorted by text and start) cover: text, begin, end, least source."""
+    if not len(tid):
+        return (np.empty(0, np.int64),) * 4
+    new = np.ones(len(tid), bool)
+    new[1:] = (tid[1:] != tid[:-1]) | (start[1:] > start[:-1] + n)
     a = np.flatnonzero(new)
-    b = np.append(a[1:], len(d)) - 1
-    return d[a], s[a], s[b] + min_words, source[a], is_first[a]
-
-
-def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", run_windows: int = 4_000_000, buckets: int | None = None) -> DataFrame:
+    b = np.append(a[1:], len(tid)) - 1
+    return tid[a], start[a], start[b] + n, np.minimum.reduceat(source, a)
+
+
+def _answered(members: bytes, numbers: list[bytes], sources: list[bytes], n: int) -> list[tuple]:
+    """Of a run's places, after its suffixes' answers: (copy, is_first, stretches)."""
+    size = np.frombuffer(members, np.int64, 3)
+    at = 24
+    parts = []
+    for kind, count in ((np.int64, size[0]), (np.int32, size[0]), (np.int32, size[1]), (np.int64, size[2]), (np.int32, size[2]), (np.uint8, size[0])):
+        parts.append(np.frombuffer(members, kind, count, at))
+        at += parts[-1].nbytes
+    tid, start, sizes, own, own_start, copied = parts
+    source = np.full(len(sizes), -1, np.int64)
+    for a, b in zip(numbers, sources, strict=True):
+        source[np.frombuffer(a, np.int32)] = np.frombuffer(b, np.int64)
+    source = np.repeat(source, sizes)
+    first = np.zeros(len(tid), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    first &= source == tid
+    yes = source >= 0
+    tid, start, source, first, copied = (np.concatenate(x) for x in ((tid[yes], own), (start[yes].astype(np.int64), own_start.astype(np.int64)), (source[yes], own), (first[yes], np.ones(len(own), bool)), (copied[yes] > 0, np.ones(len(own), bool))))
+    order = np.lexsort((start, tid))
+    tid, start, source, first, copied = tid[order], start[order], source[order], first[order], copied[order]
+    return [(copy, is_first, _stretches(tid[m], start[m], source[m], n)) for copy, is_first, m in ((False, True, first), (False, False, ~first), (True, False, copied))]
+
+
+def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", run_suffixes: int = 1_000_000, bucket_suffixes: int = 1_000_000) -> DataFrame:
     """Passages of ``min_words`` words or more that occur in two or more documents.
 
     One row for each maximal stretch of a document covered by repeated windows:
@@ -246,65 +251,100 @@ def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     cut out; ``source_doc_id`` is the least doc_id that shares a window of the
     stretch. Words are compared in lower case without punctuation.
 
-    Null text and text of fewer words has no passage. A null id can't be named,
-    so its row is left out. Rows that repeat an id are one document: what only
-    they share isn't repeated across documents. Other columns are ignored. An
-    empty table gives an empty result.
+    Every row is a document, so what rows of one id or repeated rows share is
+    repeated; ids may be of any type, null ids come last and have rows as others.
+    Null text and text of fewer words has no passage. Other columns are ignored.
+    An empty table gives an empty result. ``run_suffixes`` and ``bucket_suffixes``
+    bound what a task holds, never the result.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    buckets = buckets or 2 * shuffle_partitions(spark)
-    kind = docs.schema[id_col].dataType
-    src = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")
+    ship(docs.sparkSession)
+    rows = docs.select(col(id_col).alias("id"), digest(col(text_col)).alias("dg"), col(text_col).alias("t")).where("t is not null")
+    size = min(BLOCK, min_words)
+
+    def anchors(batches):
+        for batch in batches:
+            for first, group in _text.pieces(batch.column(1)):
+                w = _Windows(group, min_words)
+                one = np.flatnonzero(np.concatenate(([True], w.anchor[1:] != w.anchor[:-1]))) if len(w.at) else w.at
+                p, text = w.anchor[one], w.text[one]
+                digests = batch.column(0).take(pa.array(first + text))
+                yield pa.RecordBatch.from_arrays([digests, pa.array((p - w.of[text]).astype(np.int32)), pa.array(w.blocks[p].view(np.int64))], ["dg", "pos", "h"])
+
+    named = cut(rows.select("id", "dg").withColumn("rid", F.monotonically_increasing_id()))
+    texts = named.groupBy("dg").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "rid")).alias("head"), (F.count("*") > 1).alias("copied"))
+    found = cut(rows.select("dg", "t").mapInArrow(anchors, "dg binary, pos int, h long"))
+    shared = found.groupBy("h").agg(F.min("dg").alias("a"), F.max("dg").alias("b")).where("a <> b").select("h")
+    places = found.join(shared, "h", "left_semi").groupBy("dg").agg(F.collect_set("pos").alias("at"))
+    chosen = texts.join(places, "dg", "left").where("copied or at is not null")
+    # numbers in the order of the documents, so that the least number is the first
+    chosen = cut(chosen.orderBy("head").withColumn("tid", F.monotonically_increasing_id()).select("tid", "dg", "head", "copied", F.coalesce("at", F.array().cast("array<int>")).alias("at")))
+    n_anchors = chosen.agg(F.sum(F.size("at"))).first()[0] or 0
+    buckets = max(1, -(-n_anchors * (min_words - size + 2) // (2 * bucket_suffixes)))
+    edges = np.array([_FULL * b // buckets for b in range(1, buckets)], np.uint64)
 
     def runs(batches):
         held: list = []
-        size = 0
+        count = 0
 
         def flush():
-            doc, pos, dist, count = (np.concatenate([x[i] for x in held]) for i in (0, 1, 3, 4))
-            keys, windows = np.concatenate([x[2] for x in held]), np.concatenate([x[5] for x in held])
-            start = np.cumsum(count) - count
-            order = np.lexsort(keys.T[::-1])
-            c = count[order]
-            inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            windows = windows[np.repeat(start[order], c) + inner]
-            keys, doc, pos, dist = keys[order], doc[order], pos[order], dist[order]
-            cuts = np.searchsorted(keys[:, 0], np.array([_FULL * b // buckets for b in range(1, buckets)], np.uint64))
-            cuts = np.concatenate(([0], cuts, [len(doc)]))
-            at = np.concatenate(([0], np.cumsum(c)))
-            for b in range(buckets):
-                lo, hi = cuts[b], cuts[b + 1]
-                if lo < hi:
-                    blob = encode_run(keys[lo:hi], doc[lo:hi], pos[lo:hi], dist[lo:hi], c[lo:hi], windows[at[lo] : at[hi]])
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "run"])
+            tid, start, copied, own, own_start = (np.concatenate([x[i] for x in held]) for i in (0, 1, 3, 4, 5))
+            keys = np.concatenate([x[2] for x in held])
+            order = np.lexsort((start, tid, *keys.T[::-1]))
+            tid, start, keys, copied = tid[order], start[order], keys[order], copied[order]
+            new = np.ones(len(tid), bool)
+            new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+            first = np.flatnonzero(new)
+            sizes = np.diff(np.append(first, len(tid)))
+            several = tid[first] != tid[first + sizes - 1]
+            if len(first):
+                several |= np.logical_or.reduceat(copied, first)
+            name = uuid.uuid4().int >> 65
+            head = np.array([len(tid), len(first), len(own)], np.int64)
+            members = b"".join(x.tobytes() for x in (head, tid, start.astype(np.int32), sizes.astype(np.int32), own, own_start.astype(np.int32), copied.astype(np.uint8)))
+            distinct = keys[first]
+            cuts = np.concatenate(([0], np.searchsorted(distinct[:, 0], edges), [len(first)]))
+            kept = np.flatnonzero(np.diff(cuts))
+            blobs = [encode_run(distinct[cuts[b] : cuts[b + 1]], int(cuts[b]), tid[first[cuts[b] : cuts[b + 1]]], several[cuts[b] : cuts[b + 1]]) for b in kept]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(kept) + 1), pa.int64()), pa.array([-1, *kept.tolist()], pa.int32()), pa.array([members, *blobs], pa.binary())], ["run", "bucket", "data"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, group in _text.pieces(batch.column(1)):
-                got = _anchored(group, min_words)
-                if got:
-                    held.append((ids[first + got[0]], *got[1:]))
-                    size += len(got[5])
-                if size >= run_windows:
+            tids, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for first, group in _text.pieces(batch.column(3)):
+                w = _Windows(group, min_words)
+                here = np.zeros(int(w.of[-1]) + 1, bool)
+                at = batch.column(2).slice(first, len(group))
+                here[np.repeat(w.of[:-1], at.value_lengths().to_numpy(zero_copy_only=False)) + at.flatten().to_numpy(zero_copy_only=False)] = True
+                sorted_ = here[w.anchor]
+                of, s = first + w.text, w.at - w.of[w.text]
+                alone = ~sorted_ & copies[of]  # of texts with copies: no other text has them
+                held.append((tids[of[sorted_]], s[sorted_], w.symbols(w.at[sorted_]), copies[of[sorted_]], tids[of[alone]], s[alone]))
+                count += len(sorted_) and int(sorted_.sum() + alone.sum())
+                if count >= run_suffixes:
                     yield from flush()
-                    held, size = [], 0
-        if held:
+                    held, count = [], 0
+        if count:
             yield from flush()
 
     def merged(table: pa.Table) -> pa.Table:
-        got = repeats([Run(x.as_py()) for x in table.column("run")], min_words)
-        cols = got or [[], [], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["d", "s", "e", "source", "is_first"])
-
-    found = src.mapInArrow(runs, "bucket int, run binary").groupBy("bucket").applyInArrow(merged, "d long, s long, e long, source long, is_first boolean")
-    by = Window.partitionBy("d", "is_first").orderBy("s", "e")
-    before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0)
-    part = F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        found.withColumn("new", new).withColumn("part", part).groupBy("d", "is_first", "part")
-        .agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("source").alias("source"))
-        .select(F.col("d").cast(kind).alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("source").cast(kind).alias("source_doc_id"), "is_first")
-    )
+        return _repeated([Run(x.as_py()) for x in table.column("data")], table.column("run").to_pylist())
+
+    def answered(table: pa.Table) -> pa.Table:
+        kind = [x.is_valid for x in table.column("data")]
+        data = table.column("data").to_pylist()
+        numbers, sources = table.column("numbers").to_pylist(), table.column("sources").to_pylist()
+        # a run holds each text of a row once; the same row's text may be in two runs
+        got = _answered(next(d for d, k in zip(data, kind, strict=True) if k), [x for x in numbers if x is not None], [x for x in sources if x is not None], min_words)
+        cols = [np.concatenate([g[2][i] for g in got]) for i in range(4)]
+        flags = [np.concatenate([np.full(len(g[2][0]), g[i]) for g in got]) for i in (0, 1)]
+        return pa.table([*(pa.array(c.astype(np.int64)) for c in cols), *(pa.array(f.astype(bool)) for f in flags)], names=["tid", "s", "e", "source", "copy", "is_first"])
+
+    wanted = chosen.select("tid", "copied", "at", F.col("dg").alias("y"), F.col("head.id").alias("x"))
+    sent = rows.join(wanted, (F.col("y") == F.col("dg")) & F.col("x").eqNullSafe(F.col("id"))).select("tid", "copied", "at", "t")
+    pieces = cut(sent.mapInArrow(runs, "run long, bucket int, data binary"))
+    answers = pieces.where("bucket >= 0").groupBy("bucket").applyInArrow(merged, "run long, numbers binary, sources binary")
+    members = pieces.where("bucket < 0").select("run", "data", F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("binary").alias("sources"))
+    both = members.union(answers.select("run", F.lit(None).cast("binary").alias("data"), "numbers", "sources"))
+    ranges = both.groupBy("run").applyInArrow(answered, "tid long, s long, e long, source long, copy boolean, is_first boolean").distinct()
+    origin = chosen.select(F.col("tid").alias("source"), F.col("head.id").alias("source_doc_id"))
+    placed = ranges.join(origin, "source").join(chosen.select("tid", "dg", "head"), "tid").join(named, "dg").where(F.col("copy") == (F.col("rid") != F.col("head.rid")))
+    return placed.select(F.col("id").alias("doc_id"), F.col("s").alias("start_word"), F.col("e").alias("end_word"), (F.col("e") - F.col("s")).alias("n_words"), "source_doc_id", "is_first")

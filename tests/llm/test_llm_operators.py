@@ -69,28 +69,49 @@ def corpus():
 def covered(texts, n):
     """(doc_id, word) within n-word windows that occur in two documents."""
     by = defaultdict(set)
-    tokens = [(d, WORDS.findall(t.lower())) for d, t in texts if d is not None and t is not None]
-    for d, w in tokens:
+    tokens = [(i, d, WORDS.findall((t or "").lower())) for i, (d, t) in enumerate(texts)]
+    for i, _, w in tokens:
+        for j in range(len(w) - n + 1):
+            by[tuple(w[j : j + n])].add(i)
+    return sorted(((d, j) for _, d, w in tokens for j in sorted({j for i in range(len(w) - n + 1) if len(by[tuple(w[i : i + n])]) > 1 for j in range(i, i + n)})), key=repr)
+
+
+def firsts(texts, n):
+    """The words of windows that occur here first."""
+    seen, out = set(), set()
+    for d, t in sorted(texts, key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).digest())):
+        w = WORDS.findall((t or "").lower())
         for i in range(len(w) - n + 1):
-            by[tuple(w[i : i + n])].add(d)
-    return {(d, j) for d, w in tokens for i in range(len(w) - n + 1) if len(by[tuple(w[i : i + n])]) > 1 for j in range(i, i + n)}
+            if tuple(w[i : i + n]) not in seen:
+                seen.add(tuple(w[i : i + n]))
+                out |= {(d, j) for j in range(i, i + n)}
+    return out
 
 
-@pytest.mark.parametrize("n", [50, 20])
-def test_suffix_dedup(spark, corpus, n):
-    got = suffix_dedup.suffix_dedup(clashing(docs(spark, corpus)), min_words=n, run_windows=2000).collect()
-    assert {(r.doc_id, j) for r in got for j in range(r.start_word, r.end_word)} == covered(corpus, n)
+@pytest.mark.parametrize("n,most", [(50, 1_000_000), (50, 300), (20, 2000), (7, 10_000)])
+def test_suffix_dedup(spark, corpus, n, most):
+    got = suffix_dedup.suffix_dedup(clashing(docs(spark, corpus)), min_words=n, run_suffixes=most, bucket_suffixes=most).collect()
+    words = defaultdict(int)
+    for r in got:
+        for j in range(r.start_word, r.end_word):
+            words[r.doc_id, j] |= 1 << r.is_first
+    want = covered(corpus, n)
+    assert sorted(words, key=repr) == sorted(set(want), key=repr)
     assert all(r.n_words == r.end_word - r.start_word >= n for r in got)
-    firsts = {r.doc_id for r in got if r.is_first}
-    assert all(r.source_doc_id <= r.doc_id for r in got) and {r.source_doc_id for r in got} <= firsts | {r.doc_id for r in got}
-    assert {r.doc_id for r in got if not r.is_first} >= {301, 302, 303}
+    first = firsts([x for x in corpus if x[0] not in (0, None)], n)
+    assert all(w in first for w, kind in words.items() if kind & 2 and w[0] not in (0, None))
+    assert {r.doc_id for r in got if not r.is_first} >= {301, 302, 303} and (n < 50 or {r.source_doc_id for r in got if r.doc_id == 303} == {300})
+    assert not any(r.is_first for r in got if r.doc_id == 303)
+    assert len({(r.doc_id, r.start_word, r.is_first) for r in got if r.doc_id not in (0, None)}) == len([r for r in got if r.doc_id not in (0, None)])
 
 
-def test_suffix_dedup_empty(spark):
+def test_suffix_dedup_empty_and_odd(spark):
     assert rows(suffix_dedup.suffix_dedup(docs(spark, []))) == []
     assert rows(suffix_dedup.suffix_dedup(docs(spark, [(1, "a b"), (2, None)]))) == []
     text = prose(random.Random(1), 80)
-    assert rows(suffix_dedup.suffix_dedup(docs(spark, [(1, text), (1, text)]))) == []
+    assert rows(suffix_dedup.suffix_dedup(docs(spark, [(1, text), (1, text)]))) == [(1, 0, 80, 80, 1, False), (1, 0, 80, 80, 1, True)]
+    d = spark.createDataFrame([("b-1", text), (None, text + " more"), ("a-1", "some " + text)], "doc_id string, text string")
+    assert rows(suffix_dedup.suffix_dedup(d)) == sorted([("a-1", 1, 81, 80, "a-1", True), ("b-1", 0, 80, 80, "a-1", False), (None, 0, 80, 80, "a-1", False)], key=repr)
 
 
 def test_loser_tree_merges_front_coded_runs():
@@ -101,9 +122,8 @@ def test_loser_tree_merges_front_coded_runs():
             n = int(rng.integers(0, 40))
             keys = rng.integers(0, 3, (n, 4)).astype(np.uint64)
             keys = keys[np.lexsort(keys.T[::-1])]
-            z = np.zeros(n, np.int64)
-            runs.append(suffix_dedup.Run(suffix_dedup.encode_run(keys, z, z, z, z, np.empty(0, np.uint64))))
-            assert [tuple(x) for _, x in runs[-1].heads()] == [tuple(x) for x in keys.tolist()]
+            runs.append(suffix_dedup.Run(suffix_dedup.encode_run(keys, 0, np.zeros(n), np.zeros(n))))
+            assert [tuple(x) for _, x in runs[-1].heads(7)] == [tuple(x) for x in keys.tolist()]
             everything += [(tuple(x), r) for x in keys.tolist()]
         heads = [iter(list(r.heads())) for r in runs]
         before, out = None, []
