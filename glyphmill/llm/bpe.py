@@ -3,33 +3,38 @@
 A rolling hash over the last 16 characters cuts texts into chunks, so a passage
 that documents share is cut alike in all of them. A task encodes each distinct
 chunk once. Where two chunks meet, the tokens near the cut may differ from those
-of the whole text; the stretch about it is encoded again, from wider and wider
-bounds, until its outer tokens agree with the chunks' own. The result is exactly
-that of encoding the whole text.
+of the whole text; the stretch about it is encoded again, from one sure split to
+the next, or in a run without splits from wider and wider bounds until its outer
+tokens agree with the chunks' own. The result is exactly that of encoding the whole
+text, in time that grows with its length whatever it is made of.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm import _text
+from glyphmill.llm._shared import col, map_rows
 from glyphmill.ship import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WINDOW = 16
-#: A text is surely split here, whatever stands about it.
-_EDGE = re.compile(r"(?<=\S)(?=\s)")
+_W, _P = r"\p{White_Space}", r"[^\p{White_Space}\p{L}\p{N}']"
+#: A text is surely split here by PATTERN, whatever stands about it.
+_EDGE = regex.compile(rf"(?<=[^{_W}])(?={_W})|(?<=\p{{L}})(?=[^\p{{L}}{_W}])|(?<=\p{{N}})(?=[^\p{{N}}{_W}])|(?<={_P})(?=[\p{{L}}\p{{N}}])|(?<=')(?=\p{{N}})")
+#: Characters of one kind, between which it is surely not split.
+_RUN = regex.compile(rf"\p{{L}}+|\p{{N}}+|{_P}+|{_W}+")
 _CODECS: dict[tuple, Codec] = {}
 
 
@@ -56,16 +61,13 @@ def cut_points(texts: list[str], mask_bits: int = 10) -> list[np.ndarray]:
 class Codec:
     """A vocabulary and its encoder with a bounded store of encoded chunks."""
 
-    def __init__(self, vocabulary: str, pattern: str = PATTERN, mask_bits: int = 10, store_chars: int = 4_000_000):
+    def __init__(self, vocabulary: str, mask_bits: int = 10, store_chars: int = 16_000_000):
         import tiktoken
 
         lines = Path(vocabulary).read_bytes().split(b"\n")
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
-        self.encoding = tiktoken.Encoding(Path(vocabulary).name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            self.length[rank] = len(token)
-        self.lengths = self.length.tolist()
+        self.encoding = tiktoken.Encoding(Path(vocabulary).name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = {rank: token for token, rank in ranks.items()}
         self.mask_bits, self.store_chars = mask_bits, store_chars
         self.store: dict[str, array] = {}
         self.stored = self.encoded = self.reused = 0
@@ -77,141 +79,157 @@ class Codec:
             return got.tolist()
         self.encoded += 1
         got = self.encoding.encode_ordinary(chunk)
-        if self.stored + len(chunk) > self.store_chars:
-            self.store.clear()
-            self.stored = 0
-        self.store[chunk] = array("i", got)
-        self.stored += len(chunk)
+        if len(chunk) <= self.store_chars >> 3:
+            self.stored += len(chunk)
+            while self.stored > self.store_chars:  # the oldest go
+                old = next(iter(self.store))
+                del self.store[old]
+                self.stored -= len(old)
+            self.store[chunk] = array("i", got)
         return got
 
-    def _tail(self, tokens: list[int], size: int) -> int | None:
-        """How many tokens at the end make up ``size`` bytes, if a token begins there."""
+    def _pop(self, parts: list[list[int]], size: int) -> None:
+        """Takes the tokens of the last ``size`` bytes off."""
+        while size:
+            last = parts[-1]
+            n = 0
+            while n < len(last) and size:
+                n += 1
+                size -= len(self.bytes[last[-n]])
+            del last[len(last) - n :]
+            if not last:
+                parts.pop()
+
+    def _from(self, right: list[int], size: int) -> list[int]:
+        """The tokens after the first ``size`` bytes."""
         n = 0
-        for t in reversed(tokens):
-            if size <= 0:
-                break
-            size -= self.lengths[t]
+        while size:
+            size -= len(self.bytes[right[n]])
             n += 1
-        return n if size == 0 else None
-
-    def _head(self, tokens: list[int], size: int) -> int | None:
-        n = 0
-        for t in tokens:
-            if size <= 0:
-                break
-            size -= self.lengths[t]
-            n += 1
-        return n if size == 0 else None
-
-    def _joined(self, left: list[int], right: list[int], text: str, begin: int, p: int, end: int) -> list[int]:
-        """Tokens of text[begin:end] from those of text[begin:p] and text[p:end].
-        An outer pair of bounds is where the splitter surely cuts; between it and
-        the inner one the new tokens must be the old ones."""
-        reach = 64
-        while True:
-            lo, hi = max(begin, p - reach), min(end, p + reach)
-            before = [m.start() for m in _EDGE.finditer(text, lo, p)]
-            after = [m.start() for m in _EDGE.finditer(text, p, hi)]
-            ends = (before[:1] or [begin], after[-1:] or [end])
-            a, d = ends[0][0], ends[1][0]
-            if (len(before) > 1 or lo == begin) and (len(after) > 1 or hi == end):
-                a = begin if len(before) < 2 else a
-                d = end if len(after) < 2 else d
-                i = self._tail(left, len(text[a:p].encode()))
-                j = self._head(right, len(text[p:d].encode()))
-                if i is not None and j is not None:
-                    new = self.encoding.encode_ordinary(text[a:d])
-                    keep_left, keep_right = left[len(left) - i :], right[:j]
-                    x = self._agree(keep_left, new) if a > begin else True
-                    y = self._agree(keep_right[::-1], new[::-1]) if d < end else True
-                    if x and y:
-                        return left[: len(left) - i] + new + right[j:]
-            if lo == begin and hi == end:
-                return self.encoding.encode_ordinary(text[begin:end])
-            reach *= 4
-
-    @staticmethod
-    def _agree(old: list[int], new: list[int]) -> bool:
-        return bool(old) and bool(new) and old[0] == new[0]
+        return right[n:]
+
+    def _join(self, parts: list[list[int]], right: list[int], text: str, p: int, end: int, reach: int = 256) -> None:
+        """Adds ``right``, the tokens of text[p:end], to ``parts``, those of text[:p],
+        which become the tokens of text[:end]. What lies between the sure splits
+        about p is encoded again; in a run without one, tokens next to p."""
+        lo, hi = max(0, p - reach), min(end, p + reach)
+        a = max((m.start() for m in _EDGE.finditer(text, lo, p)), default=0 if lo == 0 else None)
+        d = next((m.start() for m in _EDGE.finditer(text, p + 1, hi)), end if hi == end else None)
+        if (a is None or d is None) and self._inside(parts, right, text, p, end):
+            return
+        if a is None:
+            while a is None:
+                hi_, lo = lo, max(0, lo - 4096)
+                a = max((m.start() for m in _EDGE.finditer(text, lo, hi_ + 1)), default=0 if lo == 0 else None)
+        if d is None:
+            d = next((m.start() for m in _EDGE.finditer(text, p + 1, end)), end)
+        self._pop(parts, len(text[a:p].encode()))
+        parts.append(self.encoding.encode_ordinary(text[a:d]))
+        parts.append(self._from(right, len(text[p:d].encode())))
+
+    def _inside(self, parts: list[list[int]], right: list[int], text: str, p: int, end: int) -> bool:
+        """Joins within a run of one kind of characters, which no rule splits. Byte
+        pairs are local: tokens are those of the whole run if each is that of itself
+        and any two neighbours are those of their bytes together. So tokens about p
+        are encoded again, more and more of them, until they agree with the ones
+        that stay. False if they don't within reach."""
+        bpe = self.encoding._encode_single_piece
+        agree = lambda x, y: bpe(self.bytes[x] + self.bytes[y]) == [x, y]
+        for reach in (64, 1024):
+            lo, hi = max(0, p - reach), min(end, p + reach)
+            if not _RUN.fullmatch(text, lo, hi):
+                return False
+            # apart from what a contraction before or a blank after the run may take
+            room = len(text[lo + 4 * (lo > 0) : p].encode())
+            ahead = len(text[p : hi - 2 * (hi < end)].encode())
+            left = []
+            for part in reversed(parts):
+                left[:0] = part
+                if len(left) > 4 * reach:  # more than so many characters have bytes
+                    break
+            i = j = 1
+            while True:
+                before, after = left[-i:], right[:j]
+                if sum(len(self.bytes[x]) for x in left[-i - 1 :]) > room or sum(len(self.bytes[x]) for x in right[: j + 1]) > ahead:
+                    break
+                new = bpe(b"".join(self.bytes[x] for x in (*before, *after)))
+                # nothing is before the text's first token, nor yet behind the last one
+                x = i >= len(left) or agree(left[-i - 1], new[0])
+                y = j >= len(right) or agree(new[-1], right[j])
+                if x and y:
+                    self._pop(parts, sum(len(self.bytes[x]) for x in before))
+                    parts.append(new + right[j:])
+                    return True
+                i, j = i + (not x), j + (not y)
+        return False
 
     def encode(self, text: str, cuts=None) -> np.ndarray:
         """The tokens of the whole text."""
         cuts = cut_points([text], self.mask_bits)[0] if cuts is None else cuts
         bounds = [0, *(c for c in np.asarray(cuts).tolist() if 0 < c < len(text)), len(text)]
-        done: list[np.ndarray] = []
-        tokens = self._chunk(text[: bounds[1]])
-        begin = 0
+        parts = [self._chunk(text[: bounds[1]])]
         for p, end in zip(bounds[1:-1], bounds[2:], strict=True):
             right = self._chunk(text[p:end])
-            if text[p].isspace() and not text[p - 1].isspace():  # a sure split: both sides stand
-                done.append(np.array(tokens, np.int32))
-                tokens, begin = right, p
-                continue
-            tokens = self._joined(tokens, right, text, begin, p, end)
-            if len(tokens) > 8192:
-                # what lies before the last sure split is settled
-                sure = [m.start() for m in _EDGE.finditer(text, max(begin, end - 4096), max(begin, end - 2048))]
-                if sure and sure[-1] > begin:
-                    n = self._tail(tokens, len(text[sure[-1] : end].encode()))
-                    if n is not None:
-                        done.append(np.array(tokens[: len(tokens) - n], np.int32))
-                        tokens, begin = tokens[len(tokens) - n :], sure[-1]
-        done.append(np.array(tokens, np.int32))
-        return np.concatenate(done) if len(done) > 1 else done[0]
+            if _EDGE.match(text, p):
+                parts.append(right)
+            else:
+                self._join(parts, right, text, p, end)
+        return np.concatenate([np.array(x, np.int32) for x in parts]) if parts else np.empty(0, np.int32)
 
     def decode(self, tokens) -> bytes:
         return self.encoding.decode_bytes(np.asarray(tokens).tolist())
 
 
-def codec(vocabulary: str, pattern: str, mask_bits: int) -> Codec:
+def codec(vocabulary: str, mask_bits: int) -> Codec:
     """This process's codec of so many settings."""
-    key = (vocabulary, pattern, mask_bits)
+    key = (vocabulary, mask_bits)
     if key not in _CODECS:
-        _CODECS[key] = Codec(vocabulary, pattern, mask_bits)
+        _CODECS[key] = Codec(vocabulary, mask_bits)
     return _CODECS[key]
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, text_col: str = "text", mask_bits: int = 10) -> DataFrame:
-    """The documents with columns ``tokens`` (array<int>), ``n_tokens`` and
-    ``round_trip`` (whether decoding gives the text's UTF-8 again); columns of
-    these names already there are replaced.
+def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", mask_bits: int = 10, verify: bool = True) -> DataFrame:
+    """The documents with columns ``tokens`` (array<int>), ``n_tokens`` and, with
+    ``verify``, ``round_trip`` (whether decoding gives the text's UTF-8 again);
+    columns of these names already there, in any case, are replaced.
 
     The tokens are those of encoding each whole text at once. Null text has null
-    tokens, an empty text no tokens. ``vocabulary`` is a file of base64 tokens
-    and ranks that every worker can read. An empty table stays empty.
+    tokens, an empty text no tokens. Repeated rows are encoded alike. ``vocabulary``
+    is a file of base64 tokens and ranks that every worker can read. An empty table
+    stays empty.
     """
     ship(docs.sparkSession)
-    added = [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())]
+    added = [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())]
+    added += [T.StructField("round_trip", T.BooleanType())] if verify else []
     names = [f.name for f in added]
-    kept = [f for f in docs.schema.fields if f.name not in names]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in names]
     at = [f.name for f in kept].index(text_col)
 
     def encode(batches):
-        c = codec(vocabulary, pattern, mask_bits)
+        c = codec(vocabulary, mask_bits)
         for batch in batches:
             for first, group in _text.pieces(batch.column(at)):
-                found, good = [], []
-                for t, cuts in zip(group, cut_points(group, mask_bits), strict=True):
-                    found.append(c.encode(t, cuts))
-                    good.append(c.decode(found[-1]) == t.encode())
+                found = [c.encode(t, cuts) for t, cuts in zip(group, cut_points(group, mask_bits), strict=True)]
                 null = batch.column(at).slice(first, len(group)).is_null().to_numpy(zero_copy_only=False)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null, False)) if null.any() else pa.array(offsets), pa.array(np.concatenate(found)))
                 part = batch.slice(first, len(group))
-                sizes = pa.array(np.diff(offsets).astype(np.int32), mask=null)
-                yield pa.RecordBatch.from_arrays([*part.columns, tokens, sizes, pa.array(np.array(good), mask=null)], [*part.schema.names, *names])
+                new = [tokens, pa.array(np.diff(offsets).astype(np.int32), mask=null)]
+                if verify:
+                    new.append(pa.array(np.array([c.decode(x) == t.encode() for x, t in zip(found, group, strict=True)]), mask=null))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [f.name for f in (*kept, *added)])
 
-    return docs.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(encode, T.StructType([*kept, *added]))
+    return map_rows(docs.select([col(f.name) for f in kept]), encode, T.StructType([*kept, *added]))
 
 
-def bpe_decode(tokens: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, tokens_col: str = "tokens") -> DataFrame:
+def bpe_decode(tokens: DataFrame, vocabulary: str = VOCABULARY, tokens_col: str = "tokens") -> DataFrame:
     """The rows with a column ``decoded``, the text that ``tokens_col`` encodes
     (bytes that aren't UTF-8 become U+FFFD); null tokens give null."""
     ship(tokens.sparkSession)
 
     @F.pandas_udf("string")
     def decode(lists):
-        c = codec(vocabulary, pattern, 10)
+        c = codec(vocabulary, 10)
         return lists.map(lambda x: None if x is None else c.decode(x).decode("utf-8", "replace"))
 
-    return tokens.withColumn("decoded", decode(F.col(tokens_col)))
+    return tokens.withColumn("decoded", decode(col(tokens_col)))
