@@ -7,8 +7,8 @@ The models' n-grams stand in sorted arrays of 64-bit hashes, one per order, with
 a column of log probabilities and one of back-off weights per language, so one
 binary search scores a position in all languages. The language of the lowest
 cross-entropy per character wins. It is rejected if that entropy lies beyond what
-texts of this language and length show on held-out labelled documents, and nearer
-to what the same texts show with their characters shuffled.
+texts of this language and length show on held-out labelled documents, and beyond
+the limit that best parts such texts, mixed ones too, from shuffled ones.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import _text
+from glyphmill.llm._shared import col, free_names
 from glyphmill.ship import ship
 
 ORDER = 4
@@ -89,7 +90,7 @@ class Model:
         self.mean = np.zeros(len(languages))
         self.var = np.zeros((len(languages), 2))
         self.shuffled = np.zeros(len(languages))
-        self.slack = 0.6
+        self.slack = 0.0
 
     def _find(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         table = self.hashes[k]
@@ -181,7 +182,7 @@ def train(samples: dict[str, list[str]], hold_out: int = 4) -> Model:
             at = np.searchsorted(model.hashes[k], counts[n][k][0])
             ctx[at], short[at] = counts[n][k][2], counts[n][k][3]
         link.append({0: ctx, 1: short})
-    for col, n in enumerate(names):
+    for number, n in enumerate(names):
         below = None
         for k in range(ORDER):
             h, count, ctx, _ = counts[n][k]
@@ -197,7 +198,7 @@ def train(samples: dict[str, list[str]], hold_out: int = 4) -> Model:
             p[at] = (count - d) / total[inv]
             if k == 0:
                 p += weight[0] / alphabet
-                model.unknown[col] = np.log(weight[0] / alphabet)
+                model.unknown[number] = np.log(weight[0] / alphabet)
             else:
                 lam = np.ones(len(table))
                 i = np.minimum(np.searchsorted(contexts, link[k - 1][0]), len(contexts) - 1)
@@ -207,29 +208,56 @@ def train(samples: dict[str, list[str]], hold_out: int = 4) -> Model:
                 p += lam * below[i]
                 i = np.minimum(np.searchsorted(model.hashes[k - 1], contexts), len(model.hashes[k - 1]) - 1)
                 there = model.hashes[k - 1][i] == contexts
-                model.backoff[k - 1][i[there], col] = np.log(weight[there])
-            model.logp[k][:, col] = np.log(p)
+                model.backoff[k - 1][i[there], number] = np.log(weight[there])
+            model.logp[k][:, number] = np.log(p)
             below = p
-    for col, n in enumerate(names):
+    for number, n in enumerate(names):
         ce, size = model.cross_entropies(held[n])
-        ce, size = ce[size > 0, col], size[size > 0]
+        ce, size = ce[size > 0, number], size[size > 0]
         if not len(ce):
             continue
         mean = np.average(ce, weights=np.sqrt(size))
         off, half = (ce - mean) ** 2, size >= np.median(size)
-        model.mean[col] = mean
-        model.var[col] = off[half].mean() + 1e-4, (off * size)[~half].mean() if (~half).any() else 1.0
-        model.var[col, 1] = max(model.var[col, 1], 1.0)
+        model.mean[number] = mean
+        model.var[number] = off[half].mean() + 1e-4, (off * size)[~half].mean() if (~half).any() else 1.0
+        model.var[number, 1] = max(model.var[number, 1], 1.0)
         rng = np.random.default_rng(0)
         noise, size = model.cross_entropies(["".join(rng.permutation(list(t))) for t in held[n]])
-        model.shuffled[col] = max(mean, np.average(noise.min(axis=1)[size > 0], weights=size[size > 0]))
+        model.shuffled[number] = max(mean, np.average(noise.min(axis=1)[size > 0], weights=size[size > 0]))
+    model.slack = _calibrated(model, held)
     return model
 
 
+def _calibrated(model: Model, held: dict[str, list[str]]) -> float:
+    """How far from typical texts of a language (0) to shuffled ones (1) a text may
+    lie: the limit that parts held-out texts, and texts half in one language and
+    half in another, best from the same with their characters shuffled; the middle
+    of the gap if there is one."""
+    names = model.languages
+    good = [t for n in names for t in held[n]]
+    for a, b in zip(names, names[1:] + names[:1], strict=True):
+        good += [f"{x[: len(x) // 2]} {y[: len(y) // 2]}" for x, y in zip(held[a], held[b], strict=False)]
+    rng = np.random.default_rng(1)
+    far = []
+    for texts in (good, ["".join(rng.permutation(list(t))) for t in good]):
+        ce, size = model.cross_entropies(texts)
+        best = ce.argmin(axis=1)
+        span = model.shuffled[best] - model.mean[best]
+        ok = (size > 0) & (span > 0)
+        far.append(np.sort((ce[np.arange(len(best)), best] - model.mean[best])[ok] / span[ok]))
+    if not len(far[0]) or not len(far[1]):
+        return 0.0
+    limits = np.concatenate(far)
+    wrong = (1 - np.searchsorted(far[0], limits, side="right") / len(far[0])) + np.searchsorted(far[1], limits, side="right") / len(far[1])
+    at = limits[wrong <= wrong.min() + 1e-12].min()
+    above = far[1][far[1] > at]
+    return float((at + above[0]) / 2) if len(above) else float(at)
+
+
 def sample(docs: DataFrame, per_language: int = 400, longest: int = 100_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
     """Up to ``per_language`` labelled texts of each language, of at most
     ``longest`` characters each, those of the least hashed ids."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    rows = docs.select(col(id_col).alias("id"), col(lang_col).alias("lang"), col(text_col).alias("t"))
     ok = rows.where("id is not null and lang is not null and length(t) between 1 and " + str(int(longest)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = ok.select("id", "lang").withColumn("r", rank).where(F.col("r") <= per_language).select("id", "lang").distinct()
@@ -247,14 +275,27 @@ def identify_language(docs: DataFrame, model: Model, text_col: str = "text", z:
     ``pred_lang`` is the language of the least cross-entropy in nats a character,
     the first by name in ties; ``accepted`` says whether that lies within ``z``
     calibrated standard deviations of held-out texts of the language and length,
-    or within ``model.slack`` of the way from those to shuffled characters, so
-    that texts in two languages aren't rejected.
+    or within ``model.slack`` of the way from those to shuffled characters, which
+    is calibrated too; texts half in one language and half in another are meant
+    to be accepted.
     Null text, text without letters, and every text where no language could be
     learned have a null language and entropy and aren't accepted. Repeated rows
     are judged alike; an empty table stays empty.
     """
+    kept = [c for c in docs.columns if c.lower() not in ("pred_lang", "cross_entropy", "accepted")]
+    [new] = free_names(docs.columns, "judged")
+    return _with_verdict(docs, new, model, text_col, z).select(*map(col, kept), f"{new}.*")
+
+
+def drop_unidentified(docs: DataFrame, model: Model, text_col: str = "text", z: float = 6.0) -> DataFrame:
+    """The documents whose language is accepted by ``identify_language``, all
+    columns as they were."""
+    [new] = free_names(docs.columns, "judged")
+    return _with_verdict(docs, new, model, text_col, z).where(f"{new}.accepted").select(*map(col, docs.columns))
+
+
+def _with_verdict(docs: DataFrame, name: str, model: Model, text_col: str, z: float) -> DataFrame:
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("pred_lang", "cross_entropy", "accepted")]
     names = model.languages
 
     @F.pandas_udf("pred_lang string, cross_entropy double, accepted boolean")
@@ -275,4 +316,4 @@ def identify_language(docs: DataFrame, model: Model, text_col: str = "text", z:
             good += ok.tolist()
         return pd.DataFrame({"pred_lang": lang, "cross_entropy": pd.Series(ce, dtype="float64"), "accepted": good})
 
-    return docs.select(*kept, judge(F.col(text_col)).alias("_judged")).select(*kept, "_judged.*")
+    return docs.withColumn(name, judge(col(text_col)))
