@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.storage import cut, free_names, new_path, quoted, shared_dir
 
-__all__ = ["col", "cut", "digest", "free_names", "new_path", "quoted", "shared_dir"]
+__all__ = ["col", "cut", "digest", "free_names", "map_rows", "new_path", "quoted", "shared_dir"]
 
 
 def col(name: str) -> Column:
@@ -19,3 +19,7 @@ def digest(text: Column) -> Column:
     """16 bytes that tell texts apart; null of null."""
     return F.unhex(F.md5(text))
 
+
+def map_rows(df: DataFrame, f, schema) -> DataFrame:
+    """mapInArrow of a table whose columns may have any names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(f, schema)

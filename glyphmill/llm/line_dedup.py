@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm._shared import cut
+from glyphmill.llm._shared import col, cut, free_names, quoted
 
 BLANK = " \t\r"
 
@@ -25,7 +25,7 @@ def _key(line: Column) -> Column:
 def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
     """``host, lines``: hashes of the lines on more than ``max_ratio`` of the
     host's pages, and on ``min_pages`` pages at least."""
-    pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("t"))
+    pages = docs.select(col(host_col).alias("host"), col(text_col).alias("t"))
     lines = F.array_distinct(F.transform(F.filter(F.transform(F.split("t", "\n"), _key), lambda x: x != ""), lambda x: F.xxhash64(x)))
     often = pages.select("host", F.explode(lines).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = pages.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("total"))  # reads the hosts' column alone
@@ -35,22 +35,22 @@ def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str =
 
 def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5, count_col: str | None = None) -> DataFrame:
     """The documents without their hosts' boilerplate lines: all columns and rows,
-    ``text_col`` rewritten; with ``count_col`` a column of how many lines went.
+    ``text_col`` rewritten; with ``count_col`` a column of how many lines went (one
+    of that name already there is replaced).
 
     Every row is a page, repeated rows too. A null host is a host of its own. A
     null or empty text has no lines and stays as it is; an empty line is never
     boilerplate and stays. Lines are compared without blanks at their ends. A
     text whose lines all go becomes empty. An empty table stays empty.
     """
-    taken = set(docs.columns)
-    host, lines, gone = (next(n for n in (f"_{b}{'_' * i}" for i in range(99)) if n not in taken) for b in ("host", "lines", "gone"))
+    host, lines, gone = free_names(docs.columns, "host", "lines", "gone")
     bad = cut(boilerplate_lines(docs, host_col, text_col, max_ratio, min_pages)).select(F.col("host").alias(host), F.col("lines").alias(lines))
-    joined = docs.join(bad, docs[host_col].eqNullSafe(bad[host]), "left")
-    all_lines = F.split(F.col(text_col), "\n")
+    joined = docs.join(bad, docs[quoted(host_col)].eqNullSafe(bad[host]), "left")
+    all_lines = F.split(col(text_col), "\n")
     keep = F.filter(all_lines, lambda x: ~F.coalesce(F.array_contains(F.col(lines), F.xxhash64(_key(x))), F.lit(False)) | (_key(x) == ""))
     out = joined.withColumn(gone, F.when(F.col(lines).isNotNull(), keep))
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(gone, "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    text = F.when(F.col(gone).isNull(), col(text_col)).otherwise(F.array_join(gone, "\n"))
+    columns = [text.alias(c) if c == text_col else col(c) for c in docs.columns if c != count_col]
     if count_col:
         columns.append(F.when(F.col(gone).isNull(), 0).otherwise(F.size(all_lines) - F.size(gone)).alias(count_col))
     return out.select(columns)

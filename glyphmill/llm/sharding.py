@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm._shared import cut
+from glyphmill.llm._shared import col, cut
 
 BITS = 60
 ROUND = 12
@@ -60,7 +60,7 @@ def shard(docs: DataFrame, max_bytes: int = 64 << 20, id_col: str = "doc_id", te
     bits, as one oversized document does; it then has depth 60. Other columns are
     ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), key_hash(F.col(id_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("size"))
+    rows = docs.select(col(id_col).alias("doc_id"), key_hash(col(id_col)).alias("h"), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("bigint").alias("size"))
     found = cut(directory(rows.select("h", "size"), max_bytes))
     depths = [r[0] for r in found.select("depth").distinct().orderBy("depth").collect()]
     candidates = F.array(*[F.struct(F.lit(d).alias("depth"), (F.shiftright("h", BITS - d) if d else F.lit(0).cast("bigint")).alias("prefix")) for d in depths]) if depths else F.array().cast("array<struct<depth:int,prefix:bigint>>")
@@ -72,7 +72,7 @@ def shard(docs: DataFrame, max_bytes: int = 64 << 20, id_col: str = "doc_id", te
 ORACLE = """
 WITH r AS (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h, coalesce(octet_length(encode(text)), 0) AS n FROM documents),
 p AS (SELECT d, h >> (60 - d) AS prefix, sum(n) AS bytes FROM r, (SELECT unnest(range(0, 61)) AS d) GROUP BY 1, 2),
-leaf AS (SELECT r.doc_id, r.h, r.n, min(p.d) AS d FROM r JOIN p ON p.prefix = r.h >> (60 - p.d) WHERE p.bytes <= 67108864 OR p.d = 60 GROUP BY ALL)
+leaf AS (SELECT r.doc_id, r.h, r.n, min(p.d) AS d FROM r JOIN p ON p.prefix = r.h >> (60 - p.d) WHERE p.bytes <= 131072 OR p.d = 60 GROUP BY ALL)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(d AS INTEGER) AS depth,
   CASE WHEN d = 0 THEN '' ELSE lpad(bin(h >> (60 - d)), CAST(d AS INTEGER), '0') END AS shard
 FROM leaf
