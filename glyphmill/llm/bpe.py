@@ -112,6 +112,11 @@ class Codec:
         """Adds ``right``, the tokens of text[p:end], to ``parts``, those of text[:p],
         which become the tokens of text[:end]. What lies between the sure splits
         about p is encoded again; in a run without one, tokens next to p."""
+        a, d = text.rfind(" ", max(0, p - 64), p), text.find(" ", p + 1, min(end, p + 64))
+        if a > 0 and d > 0 and not text[a - 1].isspace() and not text[d - 1].isspace():  # most often
+            self._pop(parts, len(text[a:p].encode()))
+            parts.append(self.encoding.encode_ordinary(text[a:d]) + self._from(right, len(text[p:d].encode())))
+            return
         lo, hi = max(0, p - reach), min(end, p + reach)
         a = max((m.start() for m in _EDGE.finditer(text, lo, p)), default=0 if lo == 0 else None)
         d = next((m.start() for m in _EDGE.finditer(text, p + 1, hi)), end if hi == end else None)
@@ -170,7 +175,7 @@ class Codec:
         parts = [self._chunk(text[: bounds[1]])]
         for p, end in zip(bounds[1:-1], bounds[2:], strict=True):
             right = self._chunk(text[p:end])
-            if _EDGE.match(text, p):
+            if text[p] == " " and not text[p - 1].isspace() or _EDGE.match(text, p):
                 parts.append(right)
             else:
                 self._join(parts, right, text, p, end)
