@@ -24,50 +24,73 @@ _MASK = (1 << 60) - 1
 _SHIFT = np.arange(60, dtype=np.uint64)
 
 
-def signs(features: list[str]) -> np.ndarray:
-    """A row of +1 and -1 for each feature."""
-    words = np.empty((len(features), DIGESTS * 2), np.uint64)
+def signs(features: list[str], digests: int = DIGESTS, seed: str = "") -> np.ndarray:
+    """A row of +1 and -1 for each feature, 120 of each digest; another ``seed``
+    gives other signs."""
+    words = np.empty((len(features), digests * 2), np.uint64)
     for i, f in enumerate(features):
-        for j in range(DIGESTS):
-            d = hashlib.md5((f if j == 0 else f"{f}#{j}").encode("utf-8", "surrogatepass")).digest()
+        for j in range(digests):
+            d = hashlib.md5((seed + f if j == 0 else f"{seed}{f}#{j}").encode("utf-8", "surrogatepass")).digest()
             words[i, 2 * j] = int.from_bytes(d[:8], "big") >> 4
             words[i, 2 * j + 1] = int.from_bytes(d[7:15], "big") & _MASK
     bits = (words[:, :, None] >> _SHIFT) & np.uint64(1)
-    return bits.reshape(len(features), BITS).astype(np.int64) * 2 - 1
+    return bits.reshape(len(features), digests * 120).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def bands(sums: np.ndarray) -> np.ndarray:
     """Bands of the rows' signature bits."""
-    on = (sums > 0).reshape(len(sums), BITS // BAND, BAND)
+    on = (sums > 0).reshape(len(sums), sums.shape[1] // BAND, BAND)
     return (on * (1 << np.arange(BAND))).sum(axis=2).astype(np.int32)
 
 
-def of_tokens(content: Column) -> Column:
-    """The bands of a bag of tokens; nothing is shuffled. Null tokens give null."""
-
-    @F.pandas_udf("array<int>")
-    def sign(bags):
-        out = []
-        for bag in bags:
-            if bag is None:
-                out.append(None)
-                continue
-            names, counts = np.unique(np.asarray(bag, dtype=object).astype(str), return_counts=True) if len(bag) else ([], np.empty(0, int))
-            out.append(bands((signs(list(names)) * counts[:, None]).sum(axis=0)[None, :])[0])
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
+def _lists(x: np.ndarray, valid: np.ndarray | None = None) -> pa.ListArray:
+    ends = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
+    mask = None if valid is None or valid.all() else pa.array(np.append(~valid, False))
+    return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~valid, False)) if mask is not None else pa.array(ends), pa.array(x.ravel()))
+
+
+def _of_bags(bags: pa.ListArray, digests: int, seed: str, step: int = 50_000) -> pa.ListArray:
+    """Each distinct token of a batch is hashed once."""
+    length = bags.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = bags.flatten().fill_null("None").dictionary_encode()
+    rows = signs(coded.dictionary.to_pylist(), digests, seed)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    end = np.cumsum(length)
+    sums = np.zeros((len(bags), digests * 120), np.int64)
+    at = 0
+    while at < len(bags):
+        upto = max(at + 1, int(np.searchsorted(end, end[at] - length[at] + step, side="right")))
+        some = at + np.flatnonzero(length[at:upto])
+        if len(some):
+            begin = end[some[0]] - length[some[0]]
+            for part in range(int(begin), int(end[some[-1]]), 4 * step):  # one very long bag in pieces
+                stop = min(part + 4 * step, int(end[some[-1]]))
+                here = some[(end[some] > part) & (end[some] - length[some] < stop)]
+                starts = np.maximum(end[here] - length[here], part) - part
+                sums[here] += np.add.reduceat(rows[codes[part:stop]], starts, axis=0, dtype=np.int64)
+        at = upto
+    return _lists(bands(sums), bags.is_valid().to_numpy(zero_copy_only=False))
+
+
+def of_tokens(content: Column, digests: int = DIGESTS, seed: str = "") -> Column:
+    """The bands of a bag of tokens, 8 a digest; nothing is shuffled. Null tokens
+    give null."""
+
+    @F.arrow_udf("array<int>")
+    def sign(bags: pa.Array) -> pa.Array:
+        return _of_bags(bags, digests, seed)
 
     return sign(content)
 
 
-def of_triples(triples: DataFrame, sums: bool = False) -> DataFrame:
+def of_triples(triples: DataFrame, sums: bool = False, digests: int = DIGESTS, seed: str = "") -> DataFrame:
     """``key, strength, bands`` of triples (key, feature, value bigint); strength
     is the number of triples. With ``sums`` also the sums, by which signatures of
     parts of the data add up."""
     ship(triples.sparkSession)
     schema = "key string, strength bigint, bands array<int>" + (", sums array<bigint>" if sums else "")
-    width = BITS // BAND
+    total_bits = digests * 120
+    width = total_bits // BAND
 
     def add(batches):
         held: tuple | None = None
@@ -75,14 +98,15 @@ def of_triples(triples: DataFrame, sums: bool = False) -> DataFrame:
         def batch(keys, n, total):
             cols = [pa.array(keys, pa.string()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(keys) + 1, width), pa.int32()), pa.array(bands(total).ravel()))]
             if sums:
-                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, BITS * len(keys) + 1, BITS), pa.int32()), pa.array(total.ravel())))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, total_bits * len(keys) + 1, total_bits), pa.int32()), pa.array(total.ravel())))
             return pa.RecordBatch.from_arrays(cols, ["key", "strength", "bands", "sums"][: len(cols)])
 
         for b in batches:
             for at in range(0, b.num_rows, 5000):
                 part = b.slice(at, 5000)
                 keys = part.column(0).to_pylist()
-                weighted = signs(part.column(1).to_pylist()) * part.column(2).to_numpy()[:, None]
+                coded = part.column(1).dictionary_encode()
+                weighted = signs(coded.dictionary.to_pylist(), digests, seed)[coded.indices.to_numpy()] * part.column(2).to_numpy()[:, None]
                 head = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
                 total = np.add.reduceat(weighted, head, axis=0)
                 n = np.diff([*head, len(keys)])

@@ -45,13 +45,14 @@ def allocate(gains: DataFrame) -> DataFrame:
     return best.select("feature", F.col("b.k").alias("k"), F.col("b.gain").alias("gain"))
 
 
-def morris(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``key, state, estimate``: base-2 Morris counters of each key's rows in
-    order. State c steps with probability 2**-c and stands for 2**c - 1."""
+def morris(rows: DataFrame, key: str, order: str, base: float = 2.0) -> DataFrame:
+    """``key, state, estimate``: Morris counters of each key's rows in order. State
+    c steps with probability base**-c and stands for (base**c - 1) / (base - 1); a
+    base nearer to 1 counts more finely."""
     coin = hash60(F.concat_ws("/", F.col(key).cast("string"), F.col(order).cast("string")), 7)
     coins = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), coin.alias("c"))))
-    state = F.aggregate(coins, F.lit(0), lambda s, x: s + F.when(x["c"] < F.pow(F.lit(2.0), F.lit(60) - s), 1).otherwise(0))
-    return rows.groupBy(key).agg(state.alias("state")).withColumn("estimate", (F.pow(F.lit(2.0), F.col("state")) - 1).cast("bigint"))
+    state = F.aggregate(coins, F.lit(0), lambda s, x: s + F.when(x["c"] < F.lit(2.0**60) * F.pow(F.lit(float(base)), -s), 1).otherwise(0))
+    return rows.groupBy(key).agg(state.alias("state")).withColumn("estimate", ((F.pow(F.lit(float(base)), F.col("state")) - 1) / (base - 1)).cast("bigint" if base == 2 else "double"))
 
 
 def coin(*parts) -> float:

@@ -57,14 +57,8 @@ def model_extent(spark, d):
     return w.agg(F.max(F.abs("weight")).alias("max_weight"), F.count("*").alias("n"))
 
 
-@query(f"WITH {TOK}, {MODEL} SELECT CAST(row_number() OVER (ORDER BY feature) AS BIGINT) AS id, feature, weight FROM md ORDER BY weight DESC, feature LIMIT 50")
+@query(f"WITH {TOK}, {MODEL} SELECT CAST(row_number() OVER (ORDER BY feature) AS BIGINT) AS id, feature, weight FROM md")
 def aligned_weights(spark, d):
-    """The 50 greatest of aligned_weights_all."""
-    return aligned_weights_all(spark, d).limit(50)
-
-
-@query()
-def aligned_weights_all(spark, d):
     """Weights by line number with the features of a map, greatest first."""
     from glyphmill.sources.readers import feature_ids
 
@@ -74,14 +68,8 @@ def aligned_weights_all(spark, d):
     return lines.join(ids, "id").select("id", "feature", "weight").orderBy(F.desc("weight"), "feature")
 
 
-@query(f"WITH {TOK}, f AS (SELECT feature, dense_rank() OVER (ORDER BY feature) AS id FROM (SELECT DISTINCT feature FROM tk)) SELECT key, id, value FROM tk JOIN f USING (feature) WHERE id % 10 = 0")
+@query(f"WITH {TOK}, f AS (SELECT feature, dense_rank() OVER (ORDER BY feature) AS id FROM (SELECT DISTINCT feature FROM tk)) SELECT key, id, value FROM tk JOIN f USING (feature)")
 def instance_features(spark, d):
-    """Word counts by feature id, of every tenth id."""
-    return instance_features_all(spark, d).where("id % 10 = 0")
-
-
-@query()
-def instance_features_all(spark, d):
     """Word counts by feature id."""
     from glyphmill.sources.readers import feature_ids
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import tokenize
 from glyphmill.plans.registry import query, table
 from glyphmill.sources import readers
+from glyphmill.storage import new_path
 
 SQL_TOKENS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
 
@@ -53,14 +54,9 @@ def message_blocks(spark, d):
     return readers.messages(blocks).select("key", "label", F.size("content").alias("n_tokens"))
 
 
-@query("SELECT conv_id, turn, role AS author, regexp_extract_all(lower(text), '(h[^\\n]{3}:/[^\\p{Zs}\\[]+|@[\\p{Ll}\\p{Lu}\\p{Nd}_]*|#[\\p{Ll}\\p{Lu}\\p{Nd}]*|[\\p{Ll}\\p{Lu}\\p{Nd}]+)', 1) AS content FROM conversations WHERE NOT contains(text, chr(9))")
+@query("SELECT conv_id, turn, role AS author, regexp_extract_all(lower(replace(coalesce(text, ''), chr(9), ' ')), '(h[^\\n]{3}:/[^\\p{Zs}\\[]+|@[\\p{Ll}\\p{Lu}\\p{Nd}_]*|#[\\p{Ll}\\p{Lu}\\p{Nd}]*|[\\p{Ll}\\p{Lu}\\p{Nd}]+)', 1) AS content FROM conversations")
 def tweet_parse(spark, d):
-    return _tweets(table(spark, d, "conversations").where(~F.col("text").contains("\t")))
-
-
-@query()
-def tweet_parse_all(spark, d):
-    """As tweet_parse, of all texts; a tab, which parts columns, becomes a space."""
+    """A tab, which parts columns, becomes a space."""
     return _tweets(table(spark, d, "conversations"))
 
 
@@ -75,11 +71,19 @@ def document_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(readers.document_tokens(F.col("text"))).cast("bigint").alias("n_tokens"))
 
 
-@query("WITH w AS (SELECT s_nationkey AS nation, 0.5::DOUBLE * count(*) AS weight FROM supplier GROUP BY 1) SELECT c_custkey, weight FROM customer JOIN w ON c_nationkey = nation")
+@query("WITH w AS (SELECT s_nationkey AS nation, 0.5::DOUBLE * count(*) AS weight FROM supplier GROUP BY 1) SELECT CAST(c_custkey AS VARCHAR) AS value, weight FROM customer JOIN w ON c_nationkey = nation")
 def file_weights(spark, d):
-    """A weight per file, here per nation, on each of its records."""
-    w = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg((F.count("*") * 0.5).alias("weight"))
-    return table(spark, d, "customer").join(w, "c_nationkey").select("c_custkey", "weight")
+    """Lines of weighted files, here a file a nation with its customers; files of
+    nations without suppliers aren't listed."""
+    path = new_path(spark)
+    c = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").cast("string").alias("value"))
+    c.repartition("c_nationkey").write.partitionBy("c_nationkey").text(f"{path}/files")
+    files = spark.createDataFrame([(f,) for f in readers.list_files(f"{path}/files", r"part-.*")], "name string")
+    w = table(spark, d, "supplier").groupBy("s_nationkey").agg((F.count("*") * 0.5).alias("weight"))
+    nation = F.regexp_extract("name", r"c_nationkey=(\d+)", 1).cast("bigint")
+    listed = files.join(w, nation == F.col("s_nationkey")).select(F.concat_ws("\t", F.col("weight").cast("string"), "name").alias("value"))
+    listed.write.text(f"{path}/list")
+    return readers.read_weighted_lines(spark, f"{path}/list").select("value", "weight")
 
 
 @query(f"SELECT conv_id, arg_min(role, turn) AS role, count(*) AS num_observations, CAST(sum(len({SQL_TOKENS})) AS BIGINT) AS n_tokens FROM conversations GROUP BY 1")

@@ -38,15 +38,9 @@ def hash_allocation(spark, d):
     return sketch.allocate(g.select("feature", "k", gain.alias("gain"))).withColumn("gain", F.round("gain", 4))
 
 
-@query("SELECT user_id, feature, k, round(sum(0.5 ** before - 0.5 ** (before + k)), 6) AS coefficient FROM (SELECT user_id, event_type AS feature, k, coalesce(sum(used) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT *, 1 + event_id % 2 AS used FROM events WHERE event_id < 2000)), range(1, 4) r(k) GROUP BY 1, 2, 3".replace("event_type AS feature, k, coalesce", "event_type AS feature, coalesce").replace("SELECT user_id, feature, k, round", "SELECT user_id, feature, CAST(k AS INTEGER) AS k, round"))
+@query("SELECT user_id, feature, k, round(sum(0.5 ** before - 0.5 ** (before + k)), 6) AS coefficient FROM (SELECT user_id, event_type AS feature, k, coalesce(sum(used) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT *, 1 + event_id % 2 AS used FROM events)), range(1, 4) r(k) GROUP BY 1, 2, 3".replace("event_type AS feature, k, coalesce", "event_type AS feature, coalesce").replace("SELECT user_id, feature, k, round", "SELECT user_id, feature, CAST(k AS INTEGER) AS k, round"))
 def allocation_coefficients(spark, d):
     """What k hashes of a feature are worth after those a user has had before."""
-    return _coefficients(table(spark, d, "events").where("event_id < 2000"))
-
-
-@query()
-def allocation_coefficients_all(spark, d):
-    """As allocation_coefficients, of all events."""
     return _coefficients(table(spark, d, "events"))
 
 

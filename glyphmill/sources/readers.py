@@ -9,15 +9,27 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import tokenize
+from glyphmill.storage import cut
 
 
 def list_files(directory: str, pattern: str = ".*") -> list[str]:
-    """Files below a directory, in order, whose base name wholly matches."""
-    found = [os.path.join(d, f) for d, _, files in os.walk(directory) for f in files if re.fullmatch(pattern, f)]
+    """Files below a directory, in order, whose base name wholly matches; in any
+    file system that Spark reads, by its URL."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        found = [os.path.join(d, f) for d, _, files in os.walk(directory) for f in files if re.fullmatch(pattern, f)]
+        return sorted(found)
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    walk = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while walk.hasNext():
+        at = walk.next().getPath()
+        if re.fullmatch(pattern, at.getName()):
+            found.append(at.toString())
     return sorted(found)
 
 
@@ -34,9 +46,17 @@ def read_weighted_lines(spark: SparkSession, list_path: str) -> DataFrame:
     rows = listed.select(parts[0].cast("double").alias("weight"), parts[1].alias("name")).collect()  # as many as files listed
     if not rows:
         return spark.createDataFrame([], "value string, file string, weight double")
-    weights = spark.createDataFrame([(os.path.basename(r["name"]), r["weight"]) for r in rows], "name string, weight double")
-    lines = read_lines(spark, [r["name"] for r in rows])
-    return lines.withColumn("name", F.element_at(F.split("file", "/"), -1)).join(weights, "name").select("value", "file", "weight")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def whole(name: str) -> str:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(conf).makeQualified(path).toString()
+
+    weights = spark.createDataFrame([(whole(r["name"]), r["weight"]) for r in rows], "name string, weight double")
+    lines = read_lines(spark, sorted({r["name"] for r in rows}))
+    # a path as files have it: no escapes, one slash after the scheme
+    path = F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    return lines.withColumn("name", path).join(weights, "name").select("value", "file", "weight")
 
 
 def read_documents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -160,8 +180,8 @@ def instance_lines(instances: DataFrame) -> DataFrame:
 def feature_ids(features: DataFrame) -> DataFrame:
     """``feature, id`` from 1 on in the features' order. Ids are dense over all, so
     counts of sorted partitions are summed instead of sorting in one task."""
-    ordered = features.select("feature").distinct().orderBy("feature").withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
-    from pyspark.sql import Window
+    # written, so that places and sizes are of one and the same partitioning
+    ordered = cut(features.select("feature").distinct().orderBy("feature").withColumn("p", F.spark_partition_id()))
 
     placed = ordered.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("feature")))
     sizes = placed.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -50,6 +50,12 @@ def test_morris_is_unbiased(spark):
     assert abs(np.mean(e) - 100) < 25
 
 
+def test_morris_of_a_finer_base(spark):
+    d = spark.range(100 * 200).select((F.col("id") % 100).alias("k"), F.col("id").alias("o"))
+    e = [r.estimate for r in sketch.morris(d, "k", "o", base=1.1).collect()]
+    assert abs(np.mean(e) - 200) < 15 and np.std(e) < 80
+
+
 def test_reservoirs():
     rng = random.Random(2)
     votes = [rng.choice([1, 1, 1, -1]) for _ in range(5000)]
@@ -93,6 +99,13 @@ def test_signatures(spark):
     assert bands[0] == bands[1] and len(bands[0]) == 16
     t = d.select("key", F.explode("content").alias("feature")).groupBy("key", "feature").agg(F.count("*").alias("value"))
     assert {int(r.key): r.bands for r in signature.of_triples(t).collect()} == bands
+    for digests, seed in ((2, "x"), (4, "")):  # another seed, another width
+        other = {r.key: r.bands for r in d.select("key", signature.of_tokens(F.col("content"), digests, seed).alias("bands")).collect()}
+        assert len(other[0]) == 8 * digests and (other[0] == other[1]) and (other[0][:16] == bands[0]) == (seed == "")
+        assert {int(r.key): r.bands for r in signature.of_triples(t, digests=digests, seed=seed).collect()} == other
+    odd = spark.createDataFrame([(1, None), (2, []), (3, ["a"] * 70_000 + ["b"])], "key int, content array<string>")
+    got = {r.key: r.bands for r in odd.select("key", signature.of_tokens(F.col("content")).alias("bands")).collect()}
+    assert got[1] is None and got[2] == [0] * 16 and got[3] == signature.bands(signature.signs(["a"]))[0].tolist()
     pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (0, 9)], "a int, b int")
     score = {r.b: r.score for r in signature.pair_scores(pairs, s).collect()}
 

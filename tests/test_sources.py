@@ -24,6 +24,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "list").write_text(f"# weights\n0.5\t{names[0]}\n2\t{names[1]}\n")
     got = {(r.value, r.weight) for r in readers.read_weighted_lines(spark, str(tmp_path / "list")).collect()}
     assert got == {("one two", 0.5), ("three", 0.5), ("vier é", 2.0)}
+    (tmp_path / "sub two=2").mkdir()
+    (tmp_path / "sub two=2" / "a.txt").write_text("again\n")
+    (tmp_path / "list").write_text(f"0.5\t{names[0]}\n2\t{tmp_path}/sub two=2/a.txt\n")
+    got = [(r.value, r.weight) for r in readers.read_weighted_lines(spark, str(tmp_path / "list")).collect()]
+    assert sorted(got) == [("again", 2.0), ("one two", 0.5), ("three", 0.5)]
     (tmp_path / "none").write_text("# nothing\n")
     assert readers.read_weighted_lines(spark, str(tmp_path / "none")).count() == 0
 
