@@ -193,10 +193,10 @@ def codec(vocabulary: str, mask_bits: int) -> Codec:
     return _CODECS[key]
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", mask_bits: int = 10, verify: bool = True) -> DataFrame:
-    """The documents with columns ``tokens`` (array<int>), ``n_tokens`` and, with
-    ``verify``, ``round_trip`` (whether decoding gives the text's UTF-8 again);
-    columns of these names already there, in any case, are replaced.
+def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", mask_bits: int = 10) -> DataFrame:
+    """The documents with columns ``tokens`` (array<int>), ``n_tokens`` and
+    ``round_trip`` (whether decoding gives the text's UTF-8 again); columns of these
+    names already there, in any case, are replaced.
 
     The tokens are those of encoding each whole text at once. Null text has null
     tokens, an empty text no tokens. Repeated rows are encoded alike. ``vocabulary``
@@ -204,8 +204,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "t
     stays empty.
     """
     ship(docs.sparkSession)
-    added = [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())]
-    added += [T.StructField("round_trip", T.BooleanType())] if verify else []
+    added = [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())]
     names = [f.name for f in added]
     kept = [f for f in docs.schema.fields if f.name.lower() not in names]
     at = [f.name for f in kept].index(text_col)
@@ -219,9 +218,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "t
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null, False)) if null.any() else pa.array(offsets), pa.array(np.concatenate(found)))
                 part = batch.slice(first, len(group))
-                new = [tokens, pa.array(np.diff(offsets).astype(np.int32), mask=null)]
-                if verify:
-                    new.append(pa.array(np.array([c.decode(x) == t.encode() for x, t in zip(found, group, strict=True)]), mask=null))
+                back = np.array([c.decode(x) == t.encode() for x, t in zip(found, group, strict=True)])
+                new = [tokens, pa.array(np.diff(offsets).astype(np.int32), mask=null), pa.array(back, mask=null)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [f.name for f in (*kept, *added)])
 
     return map_rows(docs.select([col(f.name) for f in kept]), encode, T.StructType([*kept, *added]))

@@ -67,3 +67,9 @@ def test_empty_tables(spark, corpus, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tokens_are_decoded_in_every_row(spark):
+    docs = spark.createDataFrame([(1, "two words"), (2, None), (3, "")], "doc_id long, text string")
+    out = corpus_pipeline.encode(spark, docs, "")
+    assert {r.doc_id: r.round_trip for r in out.collect()} == {1: True, 2: None, 3: True}
