@@ -15,6 +15,7 @@ import numpy as np
 import pytest
 
 from glyphmill.llm import arc, bpe, decontaminate, knn, language_id, line_dedup, minhash, pii, sharding, suffix_dedup
+from glyphmill.llm._shared import marked
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\W_]+")
@@ -588,3 +589,43 @@ def test_bpe_table(spark):
     back = {r.doc_id: r.decoded for r in bpe.bpe_decode(out.select("doc_id", "tokens")).collect()}
     assert back == {d: t for d, t in texts}
     assert rows(bpe.bpe_encode(docs(spark, []))) == []
+
+
+# shared
+
+
+def test_marked_keeps_every_member(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.range(20_000).select(F.col("id").alias("a.b"), F.lit(1).alias("at"))
+    members = spark.range(0, 20_000, 7).select("id")
+    for most, others in ((1 << 26, 0.1), (1 << 15, 1)):
+        out = marked(d, "x", [F.col("`a.b`")], members, [F.col("id")], most).toPandas()
+        assert list(out.columns) == ["a.b", "at", "x"] and len(out) == 20_000
+        assert out[out["a.b"] % 7 == 0]["x"].all() and out[out["a.b"] % 7 != 0]["x"].mean() < others
+    assert marked(d, "x", [F.col("at")], members.limit(0), [F.col("id")]).where("x").count() == 0
+
+
+def shuffled(spark) -> int:
+    sc = spark._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+@pytest.mark.parametrize("operator", [minhash.drop_near_duplicates])
+def test_texts_that_nothing_shares_are_not_sent(spark, operator, tmp_path):
+    rng = random.Random(31)
+    texts = [(i, " ".join(f"{rng.getrandbits(128):032x}" for _ in range(2000))) for i in range(120)]
+    texts += [(200, texts[3][1] + " more"), (201, texts[4][1])]
+    docs(spark, texts).write.parquet(str(tmp_path / "d"))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        got = operator(spark.read.parquet(str(tmp_path / "d"))).select("doc_id").distinct().collect()
+        sent = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    ids = {r.doc_id for r in got}
+    assert ids == ({3, 4, 200, 201} if operator is suffix_dedup.suffix_dedup else set(range(120)))
+    assert sent < 0.3 * sum(len(t) for _, t in texts)
