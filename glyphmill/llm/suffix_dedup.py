@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import _text
-from glyphmill.llm._shared import col, cut, digest
+from glyphmill.llm._shared import col, cut, digest, marked
 from glyphmill.ship import ship
 
 BLOCK = 10
@@ -339,7 +339,8 @@ def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
         return pa.table([*(pa.array(c.astype(np.int64)) for c in cols), *(pa.array(f.astype(bool)) for f in flags)], names=["tid", "s", "e", "source", "copy", "is_first"])
 
     wanted = chosen.select("tid", "copied", "at", F.col("dg").alias("y"), F.col("head.id").alias("x"))
-    sent = rows.join(wanted, (F.col("y") == F.col("dg")) & F.col("x").eqNullSafe(F.col("id"))).select("tid", "copied", "at", "t")
+    asked = marked(rows, "asked", [F.col("dg"), F.col("id")], chosen, [F.col("dg"), F.col("head.id")]).where("asked").drop("asked")
+    sent = asked.join(wanted, (F.col("y") == F.col("dg")) & F.col("x").eqNullSafe(F.col("id"))).select("tid", "copied", "at", "t")
     pieces = cut(sent.mapInArrow(runs, "run long, bucket int, data binary"))
     answers = pieces.where("bucket >= 0").groupBy("bucket").applyInArrow(merged, "run long, numbers binary, sources binary")
     members = pieces.where("bucket < 0").select("run", "data", F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("binary").alias("sources"))

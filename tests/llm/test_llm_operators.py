@@ -612,7 +612,7 @@ def shuffled(spark) -> int:
     return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
 
 
-@pytest.mark.parametrize("operator", [minhash.drop_near_duplicates])
+@pytest.mark.parametrize("operator", [minhash.drop_near_duplicates, suffix_dedup.suffix_dedup])
 def test_texts_that_nothing_shares_are_not_sent(spark, operator, tmp_path):
     rng = random.Random(31)
     texts = [(i, " ".join(f"{rng.getrandbits(128):032x}" for _ in range(2000))) for i in range(120)]
