@@ -12,10 +12,12 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import arc, bpe, decontaminate, knn, language_id, line_dedup, minhash, pii, sharding, suffix_dedup
-from glyphmill.llm._shared import marked
+from glyphmill.llm._shared import bound_batches, marked
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\W_]+")
@@ -629,3 +631,22 @@ def test_texts_that_nothing_shares_are_not_sent(spark, operator, tmp_path):
     ids = {r.doc_id for r in got}
     assert ids == ({3, 4, 200, 201} if operator is suffix_dedup.suffix_dedup else set(range(120)))
     assert sent < 0.3 * sum(len(t) for _, t in texts)
+
+
+LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.mark.parametrize("operator", [minhash.near_duplicates, minhash.drop_near_duplicates])
+def test_texts_go_to_python_in_small_batches(spark, operator):
+    before = spark.conf.get(LIMIT, None)
+    spark.conf.unset(LIMIT)
+    try:
+        operator(spark.createDataFrame([(1, "one text")], "doc_id long, text string")).count()
+        texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+        held = [r.n for r in texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+        assert sum(held) > 16_000_000 and max(held) < 5_000_000
+        spark.conf.set(LIMIT, "1m")
+        bound_batches(spark)
+        assert spark.conf.get(LIMIT) == "1m"
+    finally:
+        spark.conf.unset(LIMIT) if before is None else spark.conf.set(LIMIT, before)
