@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import _text
-from glyphmill.llm._shared import col, cut, digest, marked
+from glyphmill.llm._shared import bound_batches, col, cut, digest, marked
 from glyphmill.ship import ship
 
 BLOCK = 10
@@ -184,10 +184,10 @@ def merge(runs: list) -> Iterator[tuple[int, int]]:
 def _repeated(runs: list[Run], names: list[int]) -> pa.Table:
     """Of the runs' distinct suffixes that several documents have: by run, their
     numbers and the least text of all that have them."""
-    order = list(merge(runs))
+    order = np.fromiter(merge(runs), [("run", np.int32), ("lcp", np.int32)])
     out: list[list] = [[], [], []]
-    if order:
-        run, lcp = (np.array(x, np.int64) for x in zip(*order, strict=True))
+    if len(order):
+        run, lcp = order["run"], order["lcp"]
         nth = np.empty(len(run), np.int64)  # each run's suffixes come in its own order
         nth[np.argsort(run, kind="stable")] = np.concatenate([np.arange(r.n) for r in runs])
         base = np.concatenate(([0], np.cumsum([r.n for r in runs])[:-1]))
@@ -258,6 +258,7 @@ def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     bound what a task holds, never the result.
     """
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     rows = docs.select(col(id_col).alias("id"), digest(col(text_col)).alias("dg"), col(text_col).alias("t")).where("t is not null")
     size = min(BLOCK, min_words)
 
@@ -289,6 +290,7 @@ def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
         def flush():
             tid, start, copied, own, own_start = (np.concatenate([x[i] for x in held]) for i in (0, 1, 3, 4, 5))
             keys = np.concatenate([x[2] for x in held])
+            held.clear()
             order = np.lexsort((start, tid, *keys.T[::-1]))
             tid, start, keys, copied = tid[order], start[order], keys[order], copied[order]
             new = np.ones(len(tid), bool)
@@ -301,11 +303,15 @@ def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
             name = uuid.uuid4().int >> 65
             head = np.array([len(tid), len(first), len(own)], np.int64)
             members = b"".join(x.tobytes() for x in (head, tid, start.astype(np.int32), sizes.astype(np.int32), own, own_start.astype(np.int32), copied.astype(np.uint8)))
-            distinct = keys[first]
+            distinct, least = keys[first], tid[first]
+            del tid, start, own, own_start, copied, keys, order, new, sizes
+            part = lambda at, data: pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["run", "bucket", "data"])
+            yield part([-1], [members])
+            del members
             cuts = np.concatenate(([0], np.searchsorted(distinct[:, 0], edges), [len(first)]))
-            kept = np.flatnonzero(np.diff(cuts))
-            blobs = [encode_run(distinct[cuts[b] : cuts[b + 1]], int(cuts[b]), tid[first[cuts[b] : cuts[b + 1]]], several[cuts[b] : cuts[b + 1]]) for b in kept]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(kept) + 1), pa.int64()), pa.array([-1, *kept.tolist()], pa.int32()), pa.array([members, *blobs], pa.binary())], ["run", "bucket", "data"])
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                here = slice(cuts[b], cuts[b + 1])
+                yield part([b], [encode_run(distinct[here], int(cuts[b]), least[here], several[here])])
 
         for batch in batches:
             tids, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))

@@ -636,7 +636,7 @@ def test_texts_that_nothing_shares_are_not_sent(spark, operator, tmp_path):
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-@pytest.mark.parametrize("operator", [minhash.near_duplicates, minhash.drop_near_duplicates])
+@pytest.mark.parametrize("operator", [suffix_dedup.suffix_dedup, minhash.near_duplicates, minhash.drop_near_duplicates])
 def test_texts_go_to_python_in_small_batches(spark, operator):
     before = spark.conf.get(LIMIT, None)
     spark.conf.unset(LIMIT)
