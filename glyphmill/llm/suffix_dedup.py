@@ -17,6 +17,9 @@ suffix before it and only the symbols after that. A bucket merges its runs with
 loser tree that carries those lengths along, so a comparison starts where the
 known common prefix ends. Neighbours in merged order whose common prefix is
 ``min_words`` words are a repeated passage; the runs get that answer back.
+
+Whatever is sent goes in rows of at most some 64 KB: an executor's buffers for
+Arrow and for the pages of files grow to the largest that they met and stay so.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from glyphmill.llm._shared import bound_batches, col, cut, digest, marked
 from glyphmill.ship import ship
 
 BLOCK = 10
+PIECE = 1 << 16
 _FULL = 1 << 64
 _SALT = 0x5851F42D4C957F2D
 
@@ -69,55 +73,63 @@ class _Windows:
         last = n - size
         self.offsets = [*range(0, last, size), last]
 
-    def symbols(self, starts: np.ndarray) -> np.ndarray:
-        """Blocks that together cover the window from each start."""
-        return np.stack([self.blocks[starts + o] for o in self.offsets], axis=1)
+    def symbols(self, starts: np.ndarray) -> list[np.ndarray]:
+        """Blocks that together cover the window from each start: all first ones, all second ones and so on."""
+        return [self.blocks[starts + o] for o in self.offsets]
 
 
-def encode_run(keys: np.ndarray, base: int, least: np.ndarray, several: np.ndarray) -> bytes:
-    """Distinct suffixes sorted by key, the first being number ``base`` of its run,
-    front-coded; of each the least text that has it and whether several documents do."""
+def encode_run(keys: np.ndarray, base: int, least: np.ndarray, several: np.ndarray, before: np.ndarray | None = None) -> bytes:
+    """Distinct suffixes sorted by key, the first being number ``base`` of its run and
+    the one ``before`` it in the piece before, front-coded; of each the least text that
+    has it and whether several documents do."""
     n, depth = keys.shape
     lcp = np.zeros(n, np.uint8)
     if n > 1:
         lcp[1:] = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(axis=1)
+    if n and before is not None:
+        lcp[0] = np.cumprod(keys[0] == before).sum()
     rest = keys[np.arange(depth)[None, :] >= lcp[:, None]]
     head = np.array([n, depth, len(rest), base], np.int64)
     return b"".join(x.tobytes() for x in (head, rest, least.astype(np.int64), lcp, several.astype(np.uint8)))
 
 
 class Run:
-    """A front-coded run, read back."""
-
-    def __init__(self, blob: bytes):
-        self.n, self.depth, n_rest, self.base = np.frombuffer(blob, np.int64, 4).tolist()
-        at = 32
-
-        def take(kind, n):
-            nonlocal at
-            out = np.frombuffer(blob, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.rest = take(np.uint64, n_rest)
-        self.least = take(np.int64, self.n)
-        self.lcp = take(np.uint8, self.n)
-        self.several = take(np.uint8, self.n).astype(bool)
+    """A front-coded run, read back from its pieces in their order."""
+
+    def __init__(self, *pieces):
+        self.n = 0
+        self.coded: list[tuple[np.ndarray, np.ndarray]] = []
+        least, several = [], []
+        for piece in pieces:
+            n, self.depth, n_rest, base = np.frombuffer(piece, np.int64, 4).tolist()
+            if not self.n:
+                self.base = base
+            self.n += n
+            at, parts = 32, []
+            for kind, count in ((np.uint64, n_rest), (np.int64, n), (np.uint8, n), (np.uint8, n)):
+                parts.append(np.frombuffer(piece, kind, count, at))
+                at += parts[-1].nbytes
+            self.coded.append((parts[2], parts[0]))
+            least.append(parts[1])
+            several.append(parts[3].astype(bool))
+        self.least, self.several = np.concatenate(least), np.concatenate(several)
 
     def heads(self, step: int = 4096) -> Iterator[tuple[int, list[int]]]:
         """(prefix shared with the suffix before, symbols) of each suffix in turn."""
         key: list[int] = []
-        depth, at = self.depth, 0
-        for begin in range(0, self.n, step):
-            lcp = self.lcp[begin : begin + step]
-            size = int((depth - lcp.astype(np.int64)).sum())
-            rest, lcp = self.rest[at : at + size].tolist(), lcp.tolist()
-            at, i = at + size, 0
-            for shared in lcp:
-                if shared < depth:
-                    key = key[:shared] + rest[i : i + depth - shared]
-                    i += depth - shared
-                yield shared, key
+        depth = self.depth
+        for lcps, symbols in self.coded:
+            at = 0
+            for begin in range(0, len(lcps), step):
+                lcp = lcps[begin : begin + step]
+                size = int((depth - lcp.astype(np.int64)).sum())
+                rest, lcp = symbols[at : at + size].tolist(), lcp.tolist()
+                at, i = at + size, 0
+                for shared in lcp:
+                    if shared < depth:
+                        key = key[:shared] + rest[i : i + depth - shared]
+                        i += depth - shared
+                    yield shared, key
 
 
 def merge(runs: list) -> Iterator[tuple[int, int]]:
@@ -181,30 +193,34 @@ def merge(runs: list) -> Iterator[tuple[int, int]]:
             node >>= 1
 
 
-def _repeated(runs: list[Run], names: list[int]) -> pa.Table:
+def _repeated(runs: list[Run], names: list[int]) -> Iterator[pa.RecordBatch]:
     """Of the runs' distinct suffixes that several documents have: by run, their
-    numbers and the least text of all that have them."""
-    order = np.fromiter(merge(runs), [("run", np.int32), ("lcp", np.int32)])
-    out: list[list] = [[], [], []]
-    if len(order):
-        run, lcp = order["run"], order["lcp"]
-        nth = np.empty(len(run), np.int64)  # each run's suffixes come in its own order
-        nth[np.argsort(run, kind="stable")] = np.concatenate([np.arange(r.n) for r in runs])
-        base = np.concatenate(([0], np.cumsum([r.n for r in runs])[:-1]))
-        least = np.concatenate([r.least for r in runs])[base[run] + nth]
-        several = np.concatenate([r.several for r in runs])[base[run] + nth]
-        first = np.flatnonzero(lcp < runs[0].depth)  # less than the whole window in common with the one before
-        low, high = np.minimum.reduceat(least, first), np.maximum.reduceat(least, first)
-        yes = (low < high) | np.logical_or.reduceat(several, first)
-        size = np.diff(np.append(first, len(run)))
-        yes, low = np.repeat(yes, size), np.repeat(low, size)
-        for r, one in enumerate(runs):
-            mine = yes & (run == r)
-            if mine.any():
-                out[0].append(names[r])
-                out[1].append((one.base + nth[mine]).astype(np.int32).tobytes())
-                out[2].append(low[mine].tobytes())
-    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["run", "numbers", "sources"])
+    numbers and the least text of all that have them. The runs are spent by it."""
+    order = np.fromiter(merge(runs), [("run", np.int32), ("lcp", np.int32)], sum(r.n for r in runs))
+    for r in runs:
+        r.coded.clear()
+    if not len(order):
+        return
+    run, lcp = order["run"], order["lcp"]
+    place = np.argsort(run, kind="stable")  # each run's suffixes come in its own order
+    least, several = np.empty(len(run), np.int64), np.empty(len(run), bool)
+    least[place] = np.concatenate([r.least for r in runs])
+    several[place] = np.concatenate([r.several for r in runs])
+    first = np.flatnonzero(lcp < runs[0].depth)  # less than the whole window in common with the one before
+    low, high = np.minimum.reduceat(least, first), np.maximum.reduceat(least, first)
+    yes = (low < high) | np.logical_or.reduceat(several, first)
+    size = np.diff(np.append(first, len(run)))
+    least, several = np.repeat(low, size), np.repeat(yes, size)
+    del order, run, lcp, first, low, high, yes, size
+    at, step = 0, PIECE // 8
+    for name, one in zip(names, runs, strict=True):
+        mine = place[at : at + one.n]
+        at += one.n
+        nth = np.flatnonzero(several[mine])
+        for i in range(0, len(nth), step):
+            some = nth[i : i + step]
+            numbers, sources = (one.base + some).astype(np.int32).tobytes(), least[mine[some]].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([numbers], pa.binary()), pa.array([sources], pa.binary())], ["run", "numbers", "sources"])
 
 
 def _stretches(tid, start, source, n: int):
@@ -218,7 +234,7 @@ def _stretches(tid, start, source, n: int):
     return tid[a], start[a], start[b] + n, np.minimum.reduceat(source, a)
 
 
-def _answered(members: bytes, numbers: list[bytes], sources: list[bytes], n: int) -> list[tuple]:
+def _answered(members: bytes, numbers: list, sources: list, n: int) -> list[tuple]:
     """Of a run's places, after its suffixes' answers: (copy, is_first, stretches)."""
     size = np.frombuffer(members, np.int64, 3)
     at = 24
@@ -285,33 +301,63 @@ def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
 
     def runs(batches):
         held: list = []
-        count = 0
-
-        def flush():
+        count, depth = 0, len(range(0, min_words - size, size)) + 1
+
+        def sent(rows):
+            """Of (bucket, data) in turn, batches of about 1 MB."""
+            at, data, size = [], [], 0
+            for b, x in rows:
+                at.append(b)
+                data.append(x)
+                size += len(x)
+                if size >= 16 * PIECE:
+                    yield at, data
+                    at, data, size = [], [], 0
+            if at:
+                yield at, data
+
+        def rows_of_run():
             tid, start, copied, own, own_start = (np.concatenate([x[i] for x in held]) for i in (0, 1, 3, 4, 5))
-            keys = np.concatenate([x[2] for x in held])
+            keys = []
+            for j in range(depth):
+                keys.append(np.concatenate([x[2][j] for x in held]))
+                for x in held:
+                    x[2][j] = None
             held.clear()
-            order = np.lexsort((start, tid, *keys.T[::-1]))
-            tid, start, keys, copied = tid[order], start[order], keys[order], copied[order]
-            new = np.ones(len(tid), bool)
-            new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+            order = np.lexsort((start, tid, *keys[::-1]))
+            tid, start, copied = tid[order], start[order], copied[order]
+            new = np.zeros(len(tid), bool)
+            new[:1] = True
+            for j in range(depth):
+                keys[j] = keys[j][order]
+                new[1:] |= keys[j][1:] != keys[j][:-1]
+            del order
             first = np.flatnonzero(new)
             sizes = np.diff(np.append(first, len(tid)))
             several = tid[first] != tid[first + sizes - 1]
             if len(first):
                 several |= np.logical_or.reduceat(copied, first)
-            name = uuid.uuid4().int >> 65
             head = np.array([len(tid), len(first), len(own)], np.int64)
             members = b"".join(x.tobytes() for x in (head, tid, start.astype(np.int32), sizes.astype(np.int32), own, own_start.astype(np.int32), copied.astype(np.uint8)))
-            distinct, least = keys[first], tid[first]
-            del tid, start, own, own_start, copied, keys, order, new, sizes
-            part = lambda at, data: pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["run", "bucket", "data"])
-            yield part([-1], [members])
+            least = tid[first]
+            del tid, start, own, own_start, copied, new, sizes
+            for i in range(0, len(members), PIECE):
+                yield -1 - i // PIECE, members[i : i + PIECE]
             del members
-            cuts = np.concatenate(([0], np.searchsorted(distinct[:, 0], edges), [len(first)]))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                here = slice(cuts[b], cuts[b + 1])
-                yield part([b], [encode_run(distinct[here], int(cuts[b]), least[here], several[here])])
+            cuts = np.concatenate(([0], np.searchsorted(keys[0][first], edges), [len(first)])).tolist()
+            step = max(1, PIECE // (8 * depth + 10))
+            for b, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                before = None
+                for i in range(low, high, step):
+                    here = slice(i, min(i + step, high))
+                    distinct = np.stack([k[first[here]] for k in keys], axis=1)
+                    yield b, encode_run(distinct, i, least[here], several[here], before)
+                    before = distinct[-1]
+
+        def flush():
+            name = uuid.uuid4().int >> 65
+            for at, data in sent(rows_of_run()):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["run", "bucket", "data"])
 
         for batch in batches:
             tids, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -327,30 +373,42 @@ def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
                 count += len(sorted_) and int(sorted_.sum() + alone.sum())
                 if count >= run_suffixes:
                     yield from flush()
-                    held, count = [], 0
+                    count = 0
         if count:
             yield from flush()
 
-    def merged(table: pa.Table) -> pa.Table:
-        return _repeated([Run(x.as_py()) for x in table.column("data")], table.column("run").to_pylist())
-
-    def answered(table: pa.Table) -> pa.Table:
-        kind = [x.is_valid for x in table.column("data")]
-        data = table.column("data").to_pylist()
-        numbers, sources = table.column("numbers").to_pylist(), table.column("sources").to_pylist()
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded: dict[int, list] = {}
+        for batch in batches:
+            for name, data in zip(batch.column("run").to_pylist(), batch.column("data"), strict=True):
+                coded.setdefault(name, []).append(data.as_buffer())
+        for x in coded.values():  # pieces may come in any order
+            x.sort(key=lambda piece: np.frombuffer(piece, np.int64, 4)[3])
+        names = list(coded)
+        yield from _repeated([Run(*coded.pop(name)) for name in names], names)
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, numbers, sources = {}, [], []
+        for batch in batches:
+            for b, data, number, source in zip(batch.column("bucket").to_pylist(), *(batch.column(x) for x in ("data", "numbers", "sources")), strict=True):
+                if data.is_valid:
+                    members[-b] = data.as_buffer()
+                else:
+                    numbers.append(number.as_buffer())
+                    sources.append(source.as_buffer())
         # a run holds each text of a row once; the same row's text may be in two runs
-        got = _answered(next(d for d, k in zip(data, kind, strict=True) if k), [x for x in numbers if x is not None], [x for x in sources if x is not None], min_words)
+        got = _answered(b"".join(members[i] for i in sorted(members)), numbers, sources, min_words)
         cols = [np.concatenate([g[2][i] for g in got]) for i in range(4)]
         flags = [np.concatenate([np.full(len(g[2][0]), g[i]) for g in got]) for i in (0, 1)]
-        return pa.table([*(pa.array(c.astype(np.int64)) for c in cols), *(pa.array(f.astype(bool)) for f in flags)], names=["tid", "s", "e", "source", "copy", "is_first"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in cols), *(pa.array(f.astype(bool)) for f in flags)], ["tid", "s", "e", "source", "copy", "is_first"])
 
     wanted = chosen.select("tid", "copied", "at", F.col("dg").alias("y"), F.col("head.id").alias("x"))
     asked = marked(rows, "asked", [F.col("dg"), F.col("id")], chosen, [F.col("dg"), F.col("head.id")]).where("asked").drop("asked")
     sent = asked.join(wanted, (F.col("y") == F.col("dg")) & F.col("x").eqNullSafe(F.col("id"))).select("tid", "copied", "at", "t")
     pieces = cut(sent.mapInArrow(runs, "run long, bucket int, data binary"))
     answers = pieces.where("bucket >= 0").groupBy("bucket").applyInArrow(merged, "run long, numbers binary, sources binary")
-    members = pieces.where("bucket < 0").select("run", "data", F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("binary").alias("sources"))
-    both = members.union(answers.select("run", F.lit(None).cast("binary").alias("data"), "numbers", "sources"))
+    members = pieces.where("bucket < 0").select("run", "bucket", "data", F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("binary").alias("sources"))
+    both = members.union(answers.select("run", F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("data"), "numbers", "sources"))
     ranges = both.groupBy("run").applyInArrow(answered, "tid long, s long, e long, source long, copy boolean, is_first boolean").distinct()
     origin = chosen.select(F.col("tid").alias("source"), F.col("head.id").alias("source_doc_id"))
     placed = ranges.join(origin, "source").join(chosen.select("tid", "dg", "head"), "tid").join(named, "dg").where(F.col("copy") == (F.col("rid") != F.col("head.rid")))

@@ -608,6 +608,35 @@ def test_marked_keeps_every_member(spark):
     assert marked(d, "x", [F.col("at")], members.limit(0), [F.col("id")]).where("x").count() == 0
 
 
+def test_pieces_of_a_run_are_one_run():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 3, (200, 5)).astype(np.uint64), axis=0)
+    n = len(keys)
+    least, several = rng.integers(0, 99, n), rng.integers(0, 2, n).astype(bool)
+    for step in (1, 7, n):
+        pieces = [suffix_dedup.encode_run(keys[i : i + step], 40 + i, least[i : i + step], several[i : i + step], keys[i - 1] if i else None) for i in range(0, n, step)]
+        run = suffix_dedup.Run(*pieces)
+        assert (run.n, run.depth, run.base) == (n, 5, 40)
+        assert list(run.heads(3)) == list(suffix_dedup.Run(suffix_dedup.encode_run(keys, 40, least, several)).heads())
+        assert (run.least == least).all() and (run.several == several).all()
+
+
+def test_suffix_dedup_sends_small_rows(spark, monkeypatch):
+    sent, plain = [], suffix_dedup.cut
+
+    def cut(df):
+        out = plain(df)
+        if "data" in out.columns:
+            sent.extend(r.n for r in out.select(F.octet_length("data").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "cut", cut)
+    text = prose(random.Random(8), 20_000)
+    got = rows(suffix_dedup.suffix_dedup(docs(spark, [(1, text), (2, "more " + text)]).coalesce(1)))
+    assert got == [(1, 0, 20_000, 20_000, 1, True), (2, 1, 20_001, 20_000, 1, False)]
+    assert sum(sent) > 10 * max(sent) and max(sent) <= 1 << 16
+
+
 def shuffled(spark) -> int:
     sc = spark._jsc.sc()
     sc.listenerBus().waitUntilEmpty(30_000)
