@@ -320,6 +320,54 @@ class Matches:
 
         return self.each(rows, f"key {self.key_type}, class {self.carry_type}, value bigint, share double")
 
+    def scores(self, width: int = 1) -> DataFrame:
+        """``key, scores`` of each record with any tokens by itself: the sums of its
+        matches' weights, the column carried, array<double> of so many."""
+
+        def rows(keys, x, doc, start, end, which, phrases, kept):
+            some = np.flatnonzero(x.end > x.start)
+            weights = kept.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            pair, n = np.unique(doc * (len(phrases) + 1) + which, return_counts=True)
+            doc, which = pair // (len(phrases) + 1), pair % (len(phrases) + 1)
+            total = np.stack([np.bincount(doc, n * weights[which, i], x.records).astype(np.float64) for i in range(width)], axis=1)
+            return pa.table({"key": keys.take(pa.array(some)), "scores": signature.listed(total[some])})
+
+        return self.each(rows, f"key {self.key_type}, scores array<double>")
+
+    def bags(self) -> DataFrame:
+        """``key, ids, values`` of each record with any tokens by itself: the numbers of
+        its matches, the column carried, and how often they are."""
+
+        def rows(keys, x, doc, start, end, which, phrases, kept):
+            some = np.flatnonzero(x.end > x.start)
+            pair, n = np.unique(doc * (len(phrases) + 1) + which, return_counts=True)
+            doc, which = pair // (len(phrases) + 1), pair % (len(phrases) + 1)
+            ends = pa.array(np.searchsorted(doc, np.append(some, x.records)).astype(np.int32))
+            ids = kept.take(pa.array(which))
+            return pa.table({"key": keys.take(pa.array(some)), "ids": pa.ListArray.from_arrays(ends, ids), "values": pa.ListArray.from_arrays(ends, pa.array(n.astype(np.float64)))})
+
+        return self.each(rows, f"key {self.key_type}, ids array<{self.carry_type}>, values array<double>")
+
+    def best(self, k: int) -> DataFrame:
+        """``key, top`` of each record with any tokens by itself: the at most k phrases
+        that weigh most, number times the weight carried, then by phrase."""
+
+        def rows(keys, x, doc, start, end, which, phrases, kept):
+            some = np.flatnonzero(x.end > x.start)
+            weights = kept.to_numpy(zero_copy_only=False)
+            rank = np.empty(len(phrases), np.int64)
+            rank[pc.array_sort_indices(phrases.cast(pa.binary())).to_numpy()] = np.arange(len(phrases))
+            pair, n = np.unique(doc * (len(phrases) + 1) + which, return_counts=True)
+            doc, which = pair // (len(phrases) + 1), pair % (len(phrases) + 1)
+            order = np.lexsort((rank[which], -(n * weights[which]), doc))
+            doc, which = doc[order], which[order]
+            first = np.arange(len(doc)) - np.searchsorted(doc, doc) < k
+            doc, which = doc[first], which[first]
+            ends = pa.array(np.searchsorted(doc, np.append(some, x.records)).astype(np.int32))
+            return pa.table({"key": keys.take(pa.array(some)), "top": pa.ListArray.from_arrays(ends, phrases.take(pa.array(which)))})
+
+        return self.each(rows, f"key {self.key_type}, top array<string>")
+
     def _pairs(self, half: int) -> DataFrame:
         """``bucket, packed``: phrases with the tokens about them and counts, of each part,
         in buckets of whole phrases."""
