@@ -227,3 +227,18 @@ def test_windowed_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, state.windowed_counts(d).collect()))
+
+
+def test_signatures_take_little_memory():
+    """The signs of a batch's different tokens are held as bits."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    bags = pa.array([[f"t{i}" for i in range(j, j + 200)] for j in range(0, 100_000, 200)])
+    tracemalloc.start()
+    got = signature._of_bags(bags, 2, "")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and len(got) == 500
+    assert got[3].as_py() == signature.bands(signature.signs([f"t{i}" for i in range(600, 800)]).sum(axis=0)[None])[0].tolist()
