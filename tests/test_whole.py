@@ -157,3 +157,31 @@ def test_links_of_all_pairs(spark, signed, block):
     # no band is shared here, which the search by bands needs
     apart = spark.createDataFrame([(1, [0] * 16), (2, [1] * 16)], "key bigint, bands array<int>")
     assert neighbors.near_duplicates(apart, 40).count() == 0 and {r.links for r in neighbors.linked(apart, 40).collect()} == {1}
+
+
+@pytest.mark.parametrize("block", [7, 1 << 15])
+def test_links_are_counted_without_pairs(spark, signed, block, monkeypatch):
+    """No list of pairs is made; a key with several signatures isn't linked with itself."""
+    monkeypatch.setattr(neighbors, "_met", None)
+    monkeypatch.setattr(neighbors, "_TILE", (4, 16))
+    rows = [(k % 60, b) for k, b in signed[0]]
+    classes = {}
+    for k, b in rows:
+        classes.setdefault(tuple(b), []).append(k)
+    known = [(min(ks), len(ks), b) for b, ks in classes.items()]
+    want = {b: n - 1 + sum(m for other, m, c in known if other != k and differing(b, c) <= 40) for k, n, b in known}
+    got = neighbors.linked(spark.createDataFrame(rows, "key bigint, bands array<int>").coalesce(1), 40, block=block).collect()
+    by_class = {}
+    for k, _, b in known:
+        by_class.setdefault(k, []).append(want[b])
+    assert sorted((r.class_id, r.links) for r in got if r.class_id not in {k for k, v in by_class.items() if len(v) > 1}) == sorted((min(classes[tuple(b)]), want[tuple(b)]) for _, b in rows if len(by_class[min(classes[tuple(b)])]) == 1)
+
+
+def test_best_pairs_of_equal_signatures(spark, signed, monkeypatch):
+    """Where enough pairs are equal, no others are compared."""
+    copies = [(i, signed[0][i % 3 * 4][1]) for i in range(60)] + [(None, signed[0][0][1])]
+    every = sorted((differing(x, y), a, b) for a, x in copies for b, y in copies if a is not None and b is not None and a < b)
+    s = spark.createDataFrame(copies, "key bigint, bands array<int>")
+    assert [(r.differing, r.a, r.b) for r in neighbors.best_pairs(s, 1000).collect()] == every[:1000]
+    monkeypatch.setattr(neighbors, "_best", None)
+    assert [(r.differing, r.a, r.b) for r in neighbors.best_pairs(s, 150).collect()] == every[:150]
