@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import tokenize
 from glyphmill.plans.registry import query, table
 from glyphmill.ship import ship
+from glyphmill.storage import bound_batches
 
 LINES = "(SELECT doc_id, unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line FROM documents)"
 
@@ -47,6 +48,8 @@ def symbol_rewrite(spark, d):
 
 @query(f"SELECT doc_id, md5({tokenize.rewrite_sql('text', tokenize.REPEATS)}) AS digest FROM documents")
 def repeat_rewrite(spark, d):
+    ship(spark)
+    bound_batches(spark)
     return table(spark, d, "documents").select("doc_id", F.md5(tokenize.repeats(F.col("text"))).alias("digest"))
 
 

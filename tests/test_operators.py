@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.functions import scalar
+from glyphmill.functions import scalar, tokenize
 from glyphmill.operators import linear, neighbors, ngrams, signature, sketch, stats
 from glyphmill.streaming import state
 
@@ -242,3 +242,12 @@ def test_signatures_take_little_memory():
     tracemalloc.stop()
     assert most < 100e6 and len(got) == 500
     assert got[3].as_py() == signature.bands(signature.signs([f"t{i}" for i in range(600, 800)]).sum(axis=0)[None])[0].tolist()
+
+
+def test_repeats_equal_the_rules_one_by_one(spark):
+    rng = random.Random(4)
+    rows = [("".join(rng.choice([".", "?", "!", "¡", "h", "a", "e", "j", "m", "H", "M", "x", " ", "ü", "\n", "\ue001", chr(0xE000 + len(tokenize._RUNS))]) * rng.choice([1, 1, 2, 3, 5, 8, 20, 60]) for _ in range(30)),) for _ in range(200)] + [("",), (None,)]
+    d = spark.createDataFrame(rows, "text string")
+    plan = d.select(tokenize.repeats(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan
+    assert d.where(~tokenize.repeats(F.col("text")).eqNullSafe(tokenize.rewrite(F.col("text"), tokenize.REPEATS))).count() == 0
