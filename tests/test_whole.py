@@ -185,3 +185,24 @@ def test_best_pairs_of_equal_signatures(spark, signed, monkeypatch):
     assert [(r.differing, r.a, r.b) for r in neighbors.best_pairs(s, 1000).collect()] == every[:1000]
     monkeypatch.setattr(neighbors, "_best", None)
     assert [(r.differing, r.a, r.b) for r in neighbors.best_pairs(s, 150).collect()] == every[:150]
+
+
+def test_beam_against_brute_force(spark, signed):
+    """From blocks of ranks, k of a permutation at most; a null key is only its own."""
+    rows, s = signed
+    near = {}
+    for r in neighbors.ranked(s, 4).collect():
+        near.setdefault(r.perm, []).append((r["rank"], r.key))
+    of, want = dict(rows), set()
+    for q in range(0, 90, 3):
+        seen = {q}
+        for places in near.values():
+            at = {k: i for i, k in places}
+            seen |= {k for k, i in at.items() if -5 <= i - at[q] <= 4}
+        want |= {(q, k, d, n + 1) for n, (d, k) in enumerate(sorted((differing(of[q], of[k]), k) for k in seen)[:6])}
+    d = neighbors.beam(s.where("key % 3 = 0"), s, 6, 10, 4)
+    assert {tuple(r) for r in d.collect()} == want
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # no row for each pair is sent
+    null = spark.createDataFrame([(None, rows[0][1]), (1, rows[0][1])], "key bigint, bands array<int>")
+    assert {tuple(r) for r in neighbors.beam(null, null, 3, 4, 2).collect()} == {(None, None, 0, 1), (1, 1, 0, 1)}
